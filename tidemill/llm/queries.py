@@ -4,8 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, mixing
+from . import exact_dedup, mixing, quality_rank, quality_rules, toxicity
 from .common import table
+from .training import remainder
+
+
+def op2_quality_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = quality_rank.score(docs, quality_rank.train(docs, table(spark, sf_dir, "labels")))
+    return out.select(F.col("id").alias("doc_id"), (remainder("id", 5) == 0).alias("held_out"), "score", (F.col("score") >= quality_rank.THRESHOLD).cast("int").alias("predicted"))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,9 +25,23 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_rules.verdicts(table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_divergence", "word_divergence")
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return out.select(F.col("id").alias("doc_id"), (remainder("id", 3) == 1).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 QUERIES = {
+    "op2_quality_rank": op2_quality_rank,
     "op3_mixing": op3_mixing,
     "op4_exact_dedup": op4_exact_dedup,
+    "op6_quality_rules": op6_quality_rules,
+    "op9_toxicity": op9_toxicity,
 }
 
 ORACLE_SQL = {
