@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 from urllib.parse import urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -14,7 +16,22 @@ SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once in a session's life, so that workers need no installed copy."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tidemill_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    to = os.path.realpath(os.path.join(tempfile.mkdtemp(prefix="tidemill-"), f"{package.name}.zip"))
+    with zipfile.ZipFile(to, "w") as z:
+        for p in sorted(package.rglob("*.py")):
+            z.write(p, p.relative_to(package.parent))
+    sc.addPyFile(to)
+    sc._tidemill_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
