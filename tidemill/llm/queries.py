@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, mixing, packing, quality_rank, quality_rules, toxicity
+from . import exact_dedup, mixing, near_dedup, packing, quality_rank, quality_rules, toxicity
 from .common import table
 from .training import remainder
 
@@ -47,6 +47,11 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), (remainder("id", 3) == 1).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_dedup.linked(table(spark, sf_dir, "documents"), n=2)
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
 QUERIES = {
     "op2_quality_rank": op2_quality_rank,
     "op3_mixing": op3_mixing,
@@ -54,6 +59,7 @@ QUERIES = {
     "op5_packing": op5_packing,
     "op6_quality_rules": op6_quality_rules,
     "op9_toxicity": op9_toxicity,
+    "op10_near_dedup": op10_near_dedup,
 }
 
 ORACLE_SQL = {
