@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, mixing, near_dedup, packing, pii, quality_rank, quality_rules, toxicity, warc
+from . import exact_dedup, lm, mixing, near_dedup, packing, pii, quality_rank, quality_rules, toxicity, warc
 from .common import table
 from .training import remainder
 
@@ -52,6 +52,12 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), *counts, F.sha2(pii.written("base"), 256).alias("base_sha256"), pii.written("spans").alias("spans"))
 
 
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = lm.train(docs, remainder("doc_id", 5) != 1)
+    return lm.score(docs, model).select(F.col("id").alias("doc_id"), (remainder("id", 5) == 1).alias("held_out"), "n_tokens", "n_known", F.lit(model[1]).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -71,6 +77,7 @@ QUERIES = {
     "op5_packing": op5_packing,
     "op6_quality_rules": op6_quality_rules,
     "op7_pii": op7_pii,
+    "op8_language_model": op8_language_model,
     "op9_toxicity": op9_toxicity,
     "op10_near_dedup": op10_near_dedup,
 }
