@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import SPACE, stored, text_of
+from .common import SPACE, fresh, stored, text_of
 
 MIN_CHUNK, MAX_CHUNK = 1024, 8192
 #: Sentence and clause marks, Latin and CJK, at which chunks end.
@@ -79,8 +79,9 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, less the copies.  Rows are matched by id and digest of the text, so ids
     that repeat with other texts are safe; of rows that agree in both, one stays."""
-    keep = groups(docs, id_col, text_col).filter("kept").select(F.col("id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    have = docs.withColumn("__have", F.sha2(normalised(F.col(text_col)), 256))
-    both = have.join(keep, have[id_col].eqNullSafe(keep["__id"]) & (have["__have"] == keep["__sha"]), "left_semi")
-    first = Window.partitionBy(id_col, "__have").orderBy(F.length(text_of(text_col)).desc())
-    return both.withColumn("__n", F.row_number().over(first)).filter("__n = 1").drop("__n", "__have")
+    have, n = fresh(docs, "text_digest"), fresh(docs, "copy_number")
+    keep = groups(docs, id_col, text_col).filter("kept").select(F.col("id").alias("kept_id"), F.col("text_sha256").alias("kept_digest"))
+    rows = docs.withColumn(have, F.sha2(normalised(F.col(text_col)), 256))
+    rows = rows.join(keep, rows[id_col].eqNullSafe(keep["kept_id"]) & (rows[have] == keep["kept_digest"]), "left_semi")
+    first = Window.partitionBy(id_col, have).orderBy(F.length(text_of(text_col)).desc())
+    return rows.withColumn(n, F.row_number().over(first)).filter(F.col(n) == 1).drop(n, have)

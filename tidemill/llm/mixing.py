@@ -20,7 +20,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import n_words, stored, text_of
+from .common import fresh, n_words, stored, text_of
 
 #: Rows of a source that one bucket holds, about.
 BUCKET_ROWS = 10_000
@@ -85,6 +85,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def mixed(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it.  Rows are matched by id: rows that share one id are
     each taken as often as the first of them."""
-    times = mix(docs, id_col, **how).groupBy(F.col("id").alias("__id")).agg(F.max("times").alias("__times")).filter("__times > 0")
-    both = docs.join(times, docs[id_col].eqNullSafe(times["__id"]))
-    return both.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times")))).drop("__id", "__times", "__copy")
+    own, times, copy = (fresh(docs, x) for x in ("mixed_id", "mixed_times", "mixed_copy"))
+    taken = mix(docs, id_col, **how).groupBy(F.col("id").alias(own)).agg(F.max("times").alias(times)).filter(F.col(times) > 0)
+    both = docs.join(taken, docs[id_col].eqNullSafe(taken[own]))
+    return both.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).drop(own, times, copy)
