@@ -1,9 +1,9 @@
 """Best-fit packing with Martello-Toth dominance reduction.
 
 Tokenising.  Byte-level BPE never merges across the pieces that its splitting pattern makes, and that pattern always
-starts a new piece before a space that a non-space follows, and splits runs of white space by a simple rule.  So texts are
-cut at white space first, the ids of each distinct segment are worked out once and remembered, and a document is a
-join of remembered byte strings.  Ids are kept as little-endian unsigned 32-bit numbers.
+starts a new piece before a space that a non-space follows, and between a letter or digit and an ASCII mark other than the apostrophe,
+and splits runs of white space by a simple rule.  So texts are cut there first, the ids of new segments are worked out in
+batches and remembered, and a document is a join of remembered byte strings.  Ids are kept as little-endian unsigned 32-bit numbers.
 
 Packing.  A sequence holds ``CAPACITY`` tokens.  A longer document is cut into pieces of that many, the first piece
 takes the remainder.  Lengths below the capacity are all that packing has to know, so it works on their histogram, which has
@@ -25,9 +25,12 @@ table gives an empty result; other columns are left alone.
 
 from __future__ import annotations
 
+import os
 import re
+from array import array
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,43 +42,55 @@ from .common import stored
 CAPACITY, END = 2048, 0
 #: Pieces that one block holds, at most.
 BLOCK = 8192
-#: A space may lead a run of non-spaces; of other white space all but the last goes together.  The tokenizer does not
-#: count U+001C to U+001F as white space.
-_SEGMENT = re.compile(r" ?[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+(?![\S\x1c-\x1f])|[^\S\x1c-\x1f]")
-
-
-class Segments(dict):
-    """Segment to the bytes of its ids."""
-
-    def __init__(self, tokenizer):
-        self.tokenizer = tokenizer
-
-    def ids(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def __missing__(self, segment: str) -> bytes:
-        ids = self.ids(segment)
-        if len(segment) <= 40:
-            if len(self) > 400_000:
-                self.clear()
-            self[segment] = ids
-        return ids
+#: Letters and digits beyond doubt; ASCII marks but the apostrophe, which may lead a contraction; white space as the tokenizer
+#: has it, without U+001C to U+001F, and all else.
+_ALNUM, _MARK, _GAP, _INK = r"0-9A-Za-zÀ-ÖØ-öø-ɏ", r"!-&(-/:-@\[-`{-~", r"[^\S\x1c-\x1f]", r"[\S\x1c-\x1f]"
+#: A space may lead a word or a run of marks that ends where the tokenizer starts a new piece for sure, or any other run of
+#: non-spaces; of other white space all but the last goes together.
+_SEGMENT = re.compile(rf" ?[{_ALNUM}]++(?=[{_MARK}]|{_GAP}|\Z)| ?[{_MARK}]++(?=[0-9A-Za-z]|{_GAP}|\Z)| ?{_INK}+|{_GAP}+(?!{_INK})|{_GAP}")
+#: Segments that a worker remembers, in either of two generations, and the length of those that it does.
+REMEMBERED, REMEMBERED_LENGTH = 500_000, 40
 
 
 class Encoder:
-    """Text to the bytes of its ids, equal to what the tokenizer makes of the whole text."""
+    """Texts to the bytes of their ids, equal to what the tokenizer makes of the whole texts."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are parallel already
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.segments = Segments(self.tokenizer)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-
-    def __call__(self, text: str) -> bytes:
-        if any(s in text for s in self.special):  # special tokens are taken out before the text is split
-            return self.segments.ids(text)
-        return b"".join(map(self.segments.__getitem__, _SEGMENT.findall(text)))
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        # special tokens are taken out before a text is split, so such a text goes whole
+        split = [None if any(s in t for s in self.special) else _SEGMENT.findall(t) for t in texts]
+        if len(self.known) > REMEMBERED:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        new = {s for segments in split if segments for s in segments}.difference(known)
+        for s in new & older.keys():
+            known[s] = older[s]
+        new.difference_update(known)
+        new = list(new)
+        once = dict(zip(new, self.ids(new), strict=True))
+        known.update(once)
+        out = [self.ids([t])[0] if segments is None else b"".join(map(known.__getitem__, segments)) for t, segments in zip(texts, split, strict=True)]
+        for s in new:
+            if len(s) > REMEMBERED_LENGTH:
+                del known[s]
+        return out
+
+
+@cache
+def encoder(path: str) -> Encoder:
+    """A worker's own, kept from task to task."""
+    return Encoder(path)
 
 
 def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -90,12 +105,12 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
     schema = f"row long, id {kind}, piece int, start long, length long, ids binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, tail = Encoder(tokenizer), np.asarray([end], "<u4").tobytes()
+        encode, tail = encoder(tokenizer), np.asarray([end], "<u4").tobytes()
         for b in batches:
             for part in (b.slice(i, 500) for i in range(0, b.num_rows, 500)):
                 rows: list[tuple] = []
-                for doc_id, text in zip(part.column(0), part.column(1).to_pylist(), strict=True):
-                    ids = encode(text or "") + tail
+                for doc_id, ids in zip(part.column(0), encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
+                    ids += tail
                     rows += [(0, doc_id.as_py(), k, s, n, ids[4 * s : 4 * (s + n)]) for k, (s, n) in enumerate(cut(len(ids) // 4, capacity))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["row", "id", "piece", "start", "length", "ids"])
 
