@@ -116,7 +116,7 @@ def test_signatures_estimate_similarity():
     (kx, bx), (ky, by) = sign(x), sign(y)
     agree = 220 - int(np.bitwise_count((bx ^ by).view(np.uint64)).sum())
     assert agree >= near_dedup.LEAST_BITS and (kx == ky).any()
-    assert (near_dedup.unpacked(near_dedup.packed(x)) == x >> np.uint64(16)).all()
+    assert (near_dedup.unpacked(near_dedup.packed(x)) == x >> np.uint64(24)).all()
 
 
 def plain_targets(sizes):

@@ -9,11 +9,12 @@ Equal sets are one *node* (a 64-bit digest, verified by a second one), so copies
 Links between nodes are confirmed on full sets, never on signatures.  What is wanted are components, so pairs already
 connected need no look:
 
-1. In each bucket every node is held against the bucket's smallest node only (a star).  Each node first
-   confirms the star link with the most shared bands, and components of confirmed links are found.
-2. The other star links are confirmed where they would join two components.
-3. Whatever pairs share a bucket and still lie in different components are compared, all of them; of
-   groups of near copies, which are connected by now, no pairs are made.
+1. In each bucket every node is held against one node only (a star), the one whose buckets are largest: it is near
+   the middle of its group.  Each node first confirms the star link with the most shared bands, and components of confirmed links are found.
+2. The other star links are confirmed where they would join two components.  Then, in each bucket where components still meet, a node of
+   the largest is drawn, and nodes of the others are held against it: up to 44 draws for each node.
+3. Whatever pairs share a bucket and still lie in different components are compared, all of them, each in the first bucket that it
+   shares; within components, that is, among near copies that are connected by now, no pairs are made.
 
 A pair is left out without a look at its sets only if the sizes rule it out, or if fewer than ``LEAST_BITS`` of its 220
 signature bits agree, seven standard deviations below what similarity 0.8 gives.
@@ -43,7 +44,7 @@ BANDS, ROWS = 44, 5
 PERMUTATIONS = BANDS * ROWS // 2
 LEAST_BITS = 167
 #: Bytes of a shingle's hash that are kept for confirming.
-WIDTH = 6
+WIDTH = 5
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -192,10 +193,12 @@ def linked(docs: DataFrame, n: int = SHINGLE, similarity: int = SIMILARITY, id_c
     reps = stored(one.select("node", "n", "b0", "b1", "b2", "b3", "keys"), "nodes")
     bits = reps.drop("keys")
 
-    rows = reps.select("node", F.explode("keys").alias("key"))
-    buckets = rows.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last")).filter("lead <> last").select("key", "lead")
+    rows = reps.select("node", F.posexplode("keys").alias("band", "key"))
+    buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     rows = stored(rows.join(stored(buckets, "buckets"), "key"), "members")  # of buckets with two nodes or more
-    stars = rows.filter("node <> lead").groupBy("node", "lead").agg(F.count(F.lit(1)).alias("bands"))
+    central = rows.groupBy("node").agg(F.sum("size").alias("central"))
+    lead = rows.join(central, "node").groupBy("key").agg(F.max(F.struct("central", "node")).alias("lead")).select("key", F.col("lead.node").alias("lead"))
+    stars = rows.join(stored(lead, "leads"), "key").filter("node <> lead").groupBy("node", "lead").agg(F.count(F.lit(1)).alias("bands"))
     stars = stars.join(bits.alias("x"), F.col("x.node") == stars["node"]).join(bits.alias("y"), F.col("y.node") == stars["lead"]).filter(alike("x", "y", similarity))
     stars = stored(stars.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), "bands"), "stars")
     sets = one.select("node", "members")
@@ -208,20 +211,34 @@ def linked(docs: DataFrame, n: int = SHINGLE, similarity: int = SIMILARITY, id_c
         with_ = pairs.join(la, F.col("a") == F.col("na"), "left").join(lb, F.col("b") == F.col("nb"), "left")
         return with_.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
 
+    def unsettled(labels: DataFrame) -> DataFrame:
+        """Stored, the rows of buckets in which components meet, with their labels."""
+        of = labels.select(F.col("node").alias("at"), "label")
+        each = rows.join(of, rows["node"] == of["at"], "left").select("key", "band", "node", F.coalesce("label", "node").alias("label"))
+        met = each.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("m")).filter("l <> m").select("key")
+        return stored(each.join(stored(met, "met"), "key"), "unsettled")
+
     labels = components(links)
-    tried = stored(across(stars.join(best, ["a", "b"], "left_anti"), labels), "stars")
-    links = links.union(confirmed(tried, sets, similarity))
+    links = links.union(confirmed(stored(across(stars.join(best, ["a", "b"], "left_anti"), labels), "stars"), sets, similarity))
     labels = components(links)
 
-    of = labels.select(F.col("node").alias("at"), "label")
-    rows = rows.join(of, rows["node"] == of["at"], "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    mixed = rows.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("m")).filter("l <> m").select("key")
-    rows = rows.join(stored(mixed, "mixed"), "key").join(bits, "node")
-    rows = stored(rows, "rest")
-    pairs = rows.alias("x").join(rows.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & (F.col("x.node") < F.col("y.node")) & alike("x", "y", similarity))
-    pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    flat = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = stored(pairs.join(flat, ["a", "b"], "left_anti"), "pairs")
+    # one node of the largest component in a bucket, chosen anew for each, against the nodes of the others
+    rest = unsettled(labels)
+    main = rest.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct(F.xxhash64("node", "key").alias("draw"), "node")).alias("lead")).groupBy("key").agg(F.max(F.struct("n", "label", "lead.node")).alias("m"))
+    main = stored(main.select("key", F.col("m.label").alias("main"), F.col("m.node").alias("lead")), "leads")
+    tries = rest.join(main, "key").filter("label <> main").select("node", "lead").distinct()
+    tries = tries.join(bits.alias("x"), F.col("x.node") == tries["node"]).join(bits.alias("y"), F.col("y.node") == tries["lead"]).filter(alike("x", "y", similarity))
+    tries = stored(tries.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")), "tries")
+    links = links.union(confirmed(tries, sets, similarity))
+    labels = components(links)
+
+    keyed = reps.drop("b0", "b1", "b2", "b3")
+    rest = stored(unsettled(labels).join(bits, "node").join(keyed.select("node", "keys"), "node"), "rest")
+    meet = F.array_position(F.zip_with(F.col("x.keys"), F.col("y.keys"), lambda p, q: p == q), True) == F.col("x.band") + 1  # in the first bucket that both are in
+    pairs = rest.alias("x").join(rest.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & (F.col("x.node") < F.col("y.node")) & alike("x", "y", similarity) & meet)
+    pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    done = stars.select("a", "b").union(tries.select("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = stored(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
     if not pairs.isEmpty():
         links = links.union(confirmed(pairs, sets, similarity))
         labels = components(links)
