@@ -13,8 +13,9 @@ connected need no look:
    the middle of its group.  Each node first confirms the star link with the most shared bands, and components of confirmed links are found.
 2. The other star links are confirmed where they would join two components.  Then, in each bucket where components still meet, a node of
    the largest is drawn, and nodes of the others are held against it: up to 44 draws for each node.
-3. Whatever pairs share a bucket and still lie in different components are compared, all of them, each in the first bucket that it
-   shares; within components, that is, among near copies that are connected by now, no pairs are made.
+3. Whatever nodes share a bucket, may be similar enough and still lie in different components are put into clusters, and within a
+   cluster all such pairs are compared on full sets.  Both are done in blocks of bounded size: rows are nodes, never pairs, and what comes out are
+   edges and links that connect, fewer than nodes.
 
 A pair is left out without a look at its sets only if the sizes rule it out, or if fewer than ``LEAST_BITS`` of its 220
 signature bits agree, seven standard deviations below what similarity 0.8 gives.
@@ -177,6 +178,111 @@ def components(edges: DataFrame) -> DataFrame:
         labels = lower
 
 
+def grouped(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[dict]:
+    """Groups of rows that agree in the first ``by`` columns, of batches in which they follow one another; as arrays by name."""
+    held: list[pa.RecordBatch] = []
+
+    def out() -> dict:
+        t = pa.Table.from_batches(held).combine_chunks()
+        return {n: t.column(n).to_pylist() if pa.types.is_binary(t.schema.field(n).type) else t.column(n).to_numpy() for n in t.column_names}
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys = [b.column(k).to_numpy(zero_copy_only=False) for k in range(by)]
+        cuts = (np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1).tolist()
+        for x, y in zip([0, *cuts], [*cuts, b.num_rows], strict=True):
+            if held and any(held[-1].column(k)[0].as_py() != keys[k][x] for k in range(by)):
+                yield out()
+                held = []
+            held.append(b.slice(x, y - x))
+    if held:
+        yield out()
+
+
+def blocks(rows: DataFrame, group: str, size: int) -> DataFrame:
+    """``rows`` dealt in pairs (i, j) of blocks of about ``size`` rows of each group, sorted by group and pair; first columns: group, i, j.
+    No task gets more than two blocks, whatever the size of a group."""
+    counts = stored(rows.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("of")).filter("of > 1"), "large")
+    dealt = rows.join(counts, group, "left").withColumn("of", F.coalesce("of", F.lit(1)))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node", F.lit(group)), F.col("of")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
+    names = [c for c in rows.columns if c != group]
+    dealt = dealt.select(group, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", *names)
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(n, group, "i", "j").sortWithinPartitions(group, "i", "j")
+
+
+def possible(g: dict, similarity: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each row of a group, the later rows with another label that it may be similar enough to; of two blocks, those of the other."""
+    bits = np.stack([g[f"b{k}"] for k in range(4)], 1).view(np.uint64)
+    n, label, own, two = g["n"], g["label"], g["own"], g["i"][0] != g["j"][0]
+    for x in range(len(n) - 1):
+        y = np.flatnonzero((label[x + 1 :] != label[x]) & (100 * np.minimum(n[x + 1 :], n[x]) >= similarity * np.maximum(n[x + 1 :], n[x])) & ((own[x + 1 :] != own[x]) | (not two))) + x + 1
+        if len(y):
+            y = y[2 * PERMUTATIONS - np.bitwise_count(bits[y] ^ bits[x]).sum(1, dtype=np.int64) >= LEAST_BITS]
+            if len(y):
+                yield x, y
+
+
+class Joined(dict):
+    """Labels that links have joined."""
+
+    def root(self, x: int) -> int:
+        while (up := self.get(x, x)) != x:
+            x = self[x] = self.get(up, up)
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.root(x), self.root(y)
+        self[max(x, y)] = min(x, y)
+        return x != y
+
+
+def pairs_of(a: list[int], b: list[int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def neighbours(rows: DataFrame, similarity: int) -> DataFrame:
+    """Stored edges (a, b), fewer than rows, that connect whatever nodes of one bucket (key) may be linked across components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in grouped(batches, 3):
+            node, joined, a, b = g["node"].tolist(), Joined(), [], []
+            for x, ys in possible(g, similarity):
+                for y in ys.tolist():
+                    if joined.join(node[x], node[y]):
+                        a.append(node[x])
+                        b.append(node[y])
+            yield pairs_of(a, b)
+
+    return stored(blocks(rows, "key", 2048).mapInArrow(run, "a long, b long"), "neighbours")
+
+
+def compared(rest: DataFrame, bits: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """Stored links (a, b) that join the components of nodes of one cluster: all pairs that are not ruled out are compared on full sets, but those
+    whose components a link found before has joined.  What moves are the nodes' sets, once for each block of their cluster, and no pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in grouped(batches, 3):
+            members, joined, a, b = [np.sort(unpacked(m)) for m in g["members"]], Joined(), [], []
+            node, label = g["node"].tolist(), g["label"].tolist()
+            for x, ys in possible(g, similarity):
+                ys = [y for y in ys.tolist() if joined.root(label[x]) != joined.root(label[y])]
+                for part in (ys[k : k + 256] for k in range(0, len(ys), 256)):
+                    size = np.array([len(members[y]) for y in part])
+                    everything = np.concatenate([members[y] for y in part])
+                    at = np.minimum(np.searchsorted(members[x], everything), len(members[x]) - 1)
+                    common = np.add.reduceat((members[x][at] == everything).astype(np.int64), np.append(0, np.cumsum(size)[:-1]))
+                    for k in np.flatnonzero(100 * common >= similarity * (size + len(members[x]) - common)).tolist():
+                        if joined.join(label[x], label[part[k]]):
+                            a.append(node[x])
+                            b.append(node[part[k]])
+            yield pairs_of(a, b)
+
+    rows = rest.join(bits, "node").join(sets, "node").select("cluster", "node", "label", "n", "b0", "b1", "b2", "b3", "members")
+    return stored(blocks(rows, "cluster", 256).mapInArrow(run, "a long, b long"), "links")
+
+
 def linked(docs: DataFrame, n: int = SHINGLE, similarity: int = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, row, n_shingles, component_id (the smallest id of its component), kept."""
     for salt in range(8):
@@ -193,7 +299,7 @@ def linked(docs: DataFrame, n: int = SHINGLE, similarity: int = SIMILARITY, id_c
     reps = stored(one.select("node", "n", "b0", "b1", "b2", "b3", "keys"), "nodes")
     bits = reps.drop("keys")
 
-    rows = reps.select("node", F.posexplode("keys").alias("band", "key"))
+    rows = reps.select("node", F.explode("keys").alias("key"))
     buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     rows = stored(rows.join(stored(buckets, "buckets"), "key"), "members")  # of buckets with two nodes or more
     central = rows.groupBy("node").agg(F.sum("size").alias("central"))
@@ -214,7 +320,7 @@ def linked(docs: DataFrame, n: int = SHINGLE, similarity: int = SIMILARITY, id_c
     def unsettled(labels: DataFrame) -> DataFrame:
         """Stored, the rows of buckets in which components meet, with their labels."""
         of = labels.select(F.col("node").alias("at"), "label")
-        each = rows.join(of, rows["node"] == of["at"], "left").select("key", "band", "node", F.coalesce("label", "node").alias("label"))
+        each = rows.join(of, rows["node"] == of["at"], "left").select("key", "node", F.coalesce("label", "node").alias("label"))
         met = each.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("m")).filter("l <> m").select("key")
         return stored(each.join(stored(met, "met"), "key"), "unsettled")
 
@@ -232,15 +338,13 @@ def linked(docs: DataFrame, n: int = SHINGLE, similarity: int = SIMILARITY, id_c
     links = links.union(confirmed(tries, sets, similarity))
     labels = components(links)
 
-    keyed = reps.drop("b0", "b1", "b2", "b3")
-    rest = stored(unsettled(labels).join(bits, "node").join(keyed.select("node", "keys"), "node"), "rest")
-    meet = F.array_position(F.zip_with(F.col("x.keys"), F.col("y.keys"), lambda p, q: p == q), True) == F.col("x.band") + 1  # in the first bucket that both are in
-    pairs = rest.alias("x").join(rest.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & (F.col("x.node") < F.col("y.node")) & alike("x", "y", similarity) & meet)
-    pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    done = stars.select("a", "b").union(tries.select("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = stored(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
-    if not pairs.isEmpty():
-        links = links.union(confirmed(pairs, sets, similarity))
+    # whatever may still join two components, compared in full
+    clusters = components(neighbours(unsettled(labels).select("key", "node", "label").join(bits, "node"), similarity))
+    of = labels.select(F.col("node").alias("at"), "label")
+    rest = clusters.select("node", F.col("label").alias("cluster")).join(of, F.col("node") == F.col("at"), "left").select("node", "cluster", F.coalesce("label", "node").alias("label"))
+    last = compared(stored(rest, "rest"), bits, sets, similarity)
+    if not last.isEmpty():
+        links = links.union(last)
         labels = components(links)
 
     # the smallest id of each component, for nodes that have copies or links
