@@ -68,6 +68,7 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
     words = docs.select(*lang, F.explode(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))).alias("w")).groupBy("no_lang", "lang", "w").agg(F.count(F.lit(1)).alias("n"))
     words = stored(words, "words")  # used twice
     total = words.groupBy("no_lang", "lang").agg(F.sum("n").alias("total"))
+    total = F.broadcast(total) if total.count() <= BROADCAST_LANGUAGES else total  # so that rare words are dropped where they are, before ranking
     first = Window.partitionBy("no_lang", "lang").orderBy(F.desc("n"), "w")
     common = words.join(total, ["no_lang", "lang"]).filter(F.col("n") * SHARE >= F.col("total")).withColumn("k", F.row_number().over(first)).filter(F.col("k") <= TOP)
     common = common.groupBy("no_lang", "lang", "total").agg(F.sort_array(F.collect_list(F.struct("k", "w", "n"))).alias("top")).filter(F.col("total") >= MIN_REFERENCE)
