@@ -2,6 +2,7 @@
 
 import json
 import os
+import shutil
 import time
 from pathlib import Path
 
@@ -30,6 +31,7 @@ def main() -> None:
         cold[f"q{k}"], warm[f"q{k}"] = round(took[0], 4), round(min(took[1:]), 4)
     print(json.dumps({"metric": "hits_43_queries_warm_total", "value": round(sum(warm.values()), 3), "unit": "sec", "queries": warm, "cold": cold, "write_hits_sec": round(convert, 3), "sf": Path(sf_dir).name, "cpus": cpus}))
     spark.stop()
+    shutil.rmtree(os.path.dirname(store), ignore_errors=True)
 
 
 if __name__ == "__main__":
