@@ -115,6 +115,8 @@ def test_elias_fano(top):
             assert (e.get(np.arange(n)) == v).all()
             q = np.concatenate([r.integers(0, top, 500, dtype=np.uint64), v[:200], v[-1:] + U64(1), np.array([0], np.uint64)])
             assert (e.successor(q, 0, n) == np.searchsorted(v, q)).all()
+            found = e.find(q)
+            assert ((found >= 0) == np.isin(q, v)).all() and (v[found[found >= 0]] == q[found >= 0]).all()
 
 
 def plain_model(tokens, train):
@@ -152,6 +154,10 @@ def test_language_model(spark, edge_rows, prose_of):
     train = [k for k, r in enumerate(rows) if zlib.crc32(str(r[0]).encode()) % 5 != 1]
     c1, n, one, two, three = plain_model(ends, train)
     assert model[1:] == (n, len(c1))
+    m = lm.Model(*model)
+    the, of = m.word_ids([b"the", b"of"])
+    words, nodes = m.levels[1].children(int(the))
+    assert dict(zip(words.tolist(), nodes.tolist()))[int(of)] == m.levels[1].find(np.array([the]), np.array([of]))[0][0] and (np.diff(words) > 0).all()
     want = []
     for k, (doc_id, _) in enumerate(rows):
         s = ["\n", *ends[k]]

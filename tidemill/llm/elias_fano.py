@@ -14,16 +14,18 @@ from .common import filesystem
 U64 = np.uint64
 
 
+#: In each byte, the place of the bit that has so many set bits before it.
+_IN_BYTE = np.array([([k for k in range(8) if b >> k & 1] + [0] * 8)[:8] for b in range(256)], np.uint8).ravel()
+
+
 def select(words: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Place of the bit that has ``rank`` set bits before it, in each of the words."""
-    x, r, at = words.copy(), rank.astype(np.int64), np.zeros(len(words), np.int64)
-    for width in (32, 16, 8, 4, 2, 1):
-        low = np.bitwise_count(x & U64((1 << width) - 1)).astype(np.int64)
-        go = r >= low
-        r -= np.where(go, low, 0)
-        x = np.where(go, x >> U64(width), x)
-        at += np.where(go, width, 0)
-    return at
+    """Place of the bit that has ``rank`` set bits before it, in each of the words: first its byte, then the place in it."""
+    each = words.view(np.uint8).reshape(-1, 8)
+    upto = np.cumsum(np.bitwise_count(each), axis=1, dtype=np.uint8)
+    byte = np.minimum((upto <= rank.astype(np.uint8)[:, None]).sum(axis=1), 7)
+    rows = np.arange(len(words))
+    left = rank - np.where(byte > 0, upto[rows, byte - 1], 0)
+    return byte * 8 + _IN_BYTE[each[rows, byte].astype(np.int64) * 8 + left]
 
 
 class EliasFano:
@@ -75,11 +77,14 @@ class EliasFano:
         place = word * 64 + select(~self.high[word], z - self.zeros[word])
         return np.where(h <= 0, 0, np.minimum(place - z, self.n))
 
-    def successor(self, x: np.ndarray, first: np.ndarray | int, end: np.ndarray | int) -> np.ndarray:
-        """The first place in [first, end) whose value is at least x, or end."""
+    def bucket(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First and end place of the values whose high part is that of x, and x's low part."""
         h = np.minimum(x >> U64(self.l), U64(1 << 62)).astype(np.int64)
-        low = x & U64((1 << self.l) - 1)
-        a, b = np.clip(self.starts(h), first, end), np.clip(self.starts(h + 1), first, end)
+        return self.starts(h), self.starts(h + 1), x & U64((1 << self.l) - 1)
+
+    def search(self, a: np.ndarray, b: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """In each bucket, the first place whose low part is at least ``low``, or the bucket's end."""
+        a, b = a.copy(), b.copy()
         open_ = np.flatnonzero(a < b)
         while len(open_):
             mid = (a[open_] + b[open_]) >> 1
@@ -89,6 +94,19 @@ class EliasFano:
             open_ = open_[a[open_] < b[open_]]
         return a
 
+    def successor(self, x: np.ndarray, first: np.ndarray | int, end: np.ndarray | int) -> np.ndarray:
+        """The first place in [first, end) whose value is at least x, or end."""
+        a, b, low = self.bucket(x)
+        return self.search(np.clip(a, first, end), np.clip(b, first, end), low)
+
+    def find(self, x: np.ndarray) -> np.ndarray:
+        """The places of values, -1 for those that are not there: the successor is the value if it lies in its bucket and has its low part."""
+        a, b, low = self.bucket(x)
+        place = self.search(a, b, low)
+        there = place < b
+        there[there] = self.lows(place[there]) == low[there]
+        return np.where(there, place, -1)
+
 
 def to_bytes(parts: dict[str, np.ndarray]) -> bytes:
     head, at = {}, 0

@@ -2,8 +2,8 @@
 
 Level 1 is the vocabulary: the words' 64-bit hashes in order, as an Elias-Fano sequence; a word's id is its place.  In level k a
 node is a parent of level k-1 and a word.  The parents' first children are a monotone pointer sequence; children's ids are made
-monotone by adding what the ids before their context sum up to, so that one Elias-Fano sequence holds all of them, and a child is found by a
-successor search relative to its context.  Probabilities and back-off weights are smoothed by interpolated absolute discounting and quantised
+monotone by adding their context's base, its place times the size of the vocabulary, so that one Elias-Fano sequence holds all of them, and a
+child is found by a successor search for its id relative to its context.  Probabilities and back-off weights are smoothed by interpolated absolute discounting and quantised
 to 16 bits.  Levels are cut by ranges of parents into shards, files in the shared folder that workers memory-map.
 
 Counts cover all training documents and whole texts.  A level keeps n-grams found at least ``MIN_COUNT`` times; as an n-gram is no more
@@ -117,9 +117,8 @@ class Vocabulary(Level):
         for k, at in self.split(np.maximum(number, 0)):
             keys = self.shard(k)[1]["keys"]
             x = h[at].astype(np.int64).view(U64) - np.int64(self.first[k]).view(U64)  # wraps like the subtraction it is
-            place = keys.successor(x, 0, keys.n)
-            found = (h[at] >= self.first[k]) & (place < keys.n)
-            found[found] = keys.get(place[found]) == x[found]
+            place = keys.find(x)
+            found = (h[at] >= self.first[k]) & (place >= 0)
             out[at[found]] = place[found] + self.base[k]
         return out
 
@@ -137,24 +136,32 @@ class Children(Level):
             parts, ef = self.shard(k)
             at = ask[at]
             j = parent[at] - self.first[k]
-            inside = j < ef["pointers"].n - 1
+            inside = j < len(parts["backoff"])
             at, j = at[inside], j[inside]
-            b, e = ef["pointers"].get(j).astype(np.int64), ef["pointers"].get(j + 1).astype(np.int64)
-            some = e > b
-            at, j, b, e = at[some], j[some], b[some], e[some]
-            backoff[at] = parts["backoff"][j]
+            code = parts["backoff"][j]
+            some = code > 0  # of contexts that have children
+            at, j = at[some], j[some]
+            backoff[at] = code[some]
             w = word[at]
             known = w >= 0
-            at, b, e, w = at[known], b[known], e[known], w[known]
-            before = np.where(b > 0, ef["words"].get(np.maximum(b - 1, 0)) + U64(1), U64(0))
-            x = before + w.astype(U64)
-            place = ef["words"].successor(x, b, e)
-            hit = place < e
-            hit[hit] = ef["words"].get(place[hit]) == x[hit]
+            at, j, w = at[known], j[known], w[known]
+            place = ef["words"].find(j.astype(U64) * parts["width"][0] + w.astype(U64))
+            hit = place >= 0
             node[at[hit]] = place[hit] + self.base[k]
         return node, backoff
 
 
+    def children(self, parent: int) -> tuple[np.ndarray, np.ndarray]:
+        """A parent's words and their nodes, by the pointers to its first child and to the next parent's."""
+        k = int(np.searchsorted(self.first, parent, "right")) - 1
+        parts, ef = self.shard(max(k, 0))
+        j = parent - self.first[max(k, 0)]
+        if k < 0 or j >= len(parts["backoff"]):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        b, e = (int(x) for x in ef["pointers"].get(np.array([j, j + 1])))
+        return (ef["words"].get(np.arange(b, e)) - U64(j) * parts["width"][0]).astype(np.int64), np.arange(b, e) + self.base[k]
+
+
 class Model:
     """What workers hold of a model: opened levels and remembered words."""
 
@@ -317,8 +324,8 @@ def train(docs: DataFrame, trainable: Column, order: int = ORDER, min_count: int
             first = int(p[0])
             new = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
             ends = np.append(new[1:], len(p))
-            steps = np.cumsum(w[ends - 1] + 1)  # what the ids before a context sum up to
-            before = np.repeat(np.append(0, steps[:-1]), ends - new)
+            width = max(1, size)  # ids are less than that
+            before = (p - first).astype(U64) * U64(width)
             size_ = np.zeros(int(p[-1]) - first + 1, np.int64)
             size_[p[new] - first] = ends - new
             if k == 2:
@@ -333,8 +340,8 @@ def train(docs: DataFrame, trainable: Column, order: int = ORDER, min_count: int
             weight = np.maximum(1 - left[new] / whole[new], 1e-9)
             prob = np.log10((c - DISCOUNT) / whole + np.repeat(weight, ends - new) * 10.0**lower)
             backoff = np.zeros(len(size_), np.uint16)
-            backoff[p[new] - first] = quantised(np.log10(weight))
-            parts = {**EliasFano.build(before + w, "words"), **EliasFano.build(np.append(0, np.cumsum(size_)), "pointers"), "prob": quantised(prob), "backoff": backoff, "counts": c.astype(np.uint32 if c.max() < 1 << 32 else U64), **({"last": w.astype(np.uint32 if w.max() < 1 << 32 else U64), "parent": p} if k < order else {})}
+            backoff[p[new] - first] = np.maximum(quantised(np.log10(weight)), 1)  # 0: no children
+            parts = {**EliasFano.build(before + w.astype(U64), "words"), "width": np.array([width], U64), **EliasFano.build(np.append(0, np.cumsum(size_)), "pointers"), "prob": quantised(prob), "backoff": backoff, "counts": c.astype(np.uint32 if c.max() < 1 << 32 else U64), **({"last": w.astype(np.uint32 if w.max() < 1 << 32 else U64), "parent": p} if k < order else {})}
             return first, len(p), parts
 
         levels = [*levels, shards(grams.select("p", "w", "c"), "p", level, f"lm{k}")]
