@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemill.llm import lm, pii, quality_rules
 from tidemill.llm.elias_fano import U64, EliasFano
+from tidemill.llm.queries import QUERIES
 from tidemill.llm.training import remainder
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -168,6 +169,18 @@ def test_language_model(spark, edge_rows, prose_of):
         assert a[:3] == b[:3] and math.isclose(a[3], b[3], rel_tol=1e-9, abs_tol=1e-9) and abs(a[4] - b[4]) <= 4e-4 * b[1]
 
 
+def test_registered_language_model_keeps_what_is_found_once(spark, tmp_path):
+    train, held = (next(i for i in range(100) if (zlib.crc32(str(i).encode()) % 5 == 1) is x) for x in (False, True))
+    text = " ".join(f"once{k}" for k in range(10))
+    spark.createDataFrame([(train, text), (held, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x["doc_id"]: x for x in QUERIES["op8_language_model"](spark, str(tmp_path)).collect()}
+    one = 1.5 / (11 + 0.5 * 12)
+    two = 0.25 + 0.75 * one
+    want = math.log10(two) + 10 * math.log10(0.25 + 0.75 * two)
+    assert got[held]["held_out"] and not got[train]["held_out"] and got[held]["train_tokens"] == 11
+    assert abs(got[held]["score"] - want) <= 4e-4 * 11 and abs(got[train]["score"] - want) <= 4e-4 * 11
+
+
 def test_hash_of_base(spark):
     got = spark.createDataFrame([(1, "mail a@b.cd or 1.2.3.4")], "doc_id long, text string")
     row = pii.spans(got).select(F.sha2(pii.written("base"), 256)).first()

@@ -6,9 +6,9 @@ monotone by adding their context's base, its place times the size of the vocabul
 child is found by a successor search for its id relative to its context.  Probabilities and back-off weights are smoothed by interpolated absolute discounting and quantised
 to 16 bits.  Levels are cut by ranges of parents into shards, files in the shared folder that workers memory-map.
 
-Counts cover all training documents and whole texts.  A level keeps n-grams found at least ``MIN_COUNT`` times; as an n-gram is no more
-frequent than its parts, level k counts only n-grams whose parts level k-1 keeps, which loses none.  The mass of what is not kept goes to the
-back-off weight, so every context's distribution sums to one.
+Counts cover all training documents and whole texts.  A level keeps n-grams found at least ``min_count`` times (1 in the registered query: all
+of them); as an n-gram is no more frequent than its parts, level k counts only n-grams whose parts level k-1 keeps, which loses none.  The mass
+of what is not kept goes to the back-off weight, so every context's distribution sums to one.
 
 Counting goes through map-side sums and one shuffle of counts by level; the shards are range-partitioned, none depends on one frequent word.
 Scoring is one pass over the texts without a shuffle.
@@ -20,20 +20,21 @@ are left alone.
 
 from __future__ import annotations
 
+import gc
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import new_path, publish, stored
 from .elias_fano import U64, EliasFano, from_file, to_bytes
 
 ORDER, MIN_COUNT, DISCOUNT = 3, 2, 0.75
 #: Entries of a shard, about; tokens that are looked up together; words that a worker remembers.
-SHARD, TOKENS, REMEMBERED = 4_000_000, 100_000, 500_000
+SHARD, TOKENS, REMEMBERED = 2_000_000, 100_000, 500_000
 END = "\n"
 STEP = 16 / 65535
 
@@ -72,6 +73,15 @@ def vocabulary(docs: DataFrame, text_col: str) -> DataFrame:
     return stored(each.select(F.xxhash64("word").alias("h"), "c"), "vocabulary")
 
 
+def swept(spark: SparkSession, done: DataFrame | None = None) -> None:
+    """Lets go of what is needed no more: a stored table, and the shuffle files of finished queries, which stay until the driver collects its garbage."""
+    if done is not None:
+        path = spark._jvm.org.apache.hadoop.fs.Path(done.inputFiles()[0]).getParent()
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 class Level:
     """The shards of a level, opened as they are needed."""
 
@@ -127,7 +137,17 @@ class Children(Level):
     """A level above the first; ``first`` are parents."""
 
     def find(self, parent: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Nodes, -1 for those that are not there, and the back-off codes of the parents."""
+        """Nodes, -1 for those that are not there, and the back-off codes of the parents.  Each pair is looked up once, in the order
+        of the keys, so that lookups next to each other touch the same places."""
+        order = np.lexsort((word, parent))
+        p, w = parent[order], word[order]
+        new = np.append(True, (p[1:] != p[:-1]) | (w[1:] != w[:-1]))[: len(p)]
+        each = np.empty(len(p), np.int64)
+        each[order] = np.cumsum(new) - 1
+        node, backoff = self.find_each(p[new], w[new])
+        return node[each], backoff[each]
+
+    def find_each(self, parent: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         node, backoff = np.full(len(parent), -1, np.int64), np.zeros(len(parent), np.int64)
         ask = np.flatnonzero(parent >= (self.first[0] if len(self.first) else 1 << 62))
         if not len(ask):
@@ -301,7 +321,7 @@ def train(docs: DataFrame, trainable: Column, order: int = ORDER, min_count: int
             m = opened(shared.value)
             for b in chunks(batches, 0, 60 * TOKENS):
                 ids, starts = m.sequences([t or "" for t in b.column(0).to_pylist()])
-                enough = m.counts(ids) >= min_count
+                enough = m.counts(ids) >= min_count if min_count > 1 else ids >= 0
                 found, _ = m.nodes(ids, starts, k - 1)
                 parent = np.append(-1, found[-1][:-1])
                 good = enough & (parent >= 0)
@@ -318,6 +338,7 @@ def train(docs: DataFrame, trainable: Column, order: int = ORDER, min_count: int
 
         grams = texts.mapInArrow(count, "p long, w long, c long").groupBy("p", "w").agg(F.sum("c").alias("c")).filter(F.col("c") >= min_count)
         grams = stored(grams, f"grams{k}")
+        swept(spark)
 
         def level(p: np.ndarray, w: np.ndarray, c: np.ndarray, k: int = k, shared=shared) -> tuple:
             m = opened(shared.value)
@@ -341,10 +362,13 @@ def train(docs: DataFrame, trainable: Column, order: int = ORDER, min_count: int
             prob = np.log10((c - DISCOUNT) / whole + np.repeat(weight, ends - new) * 10.0**lower)
             backoff = np.zeros(len(size_), np.uint16)
             backoff[p[new] - first] = np.maximum(quantised(np.log10(weight)), 1)  # 0: no children
-            parts = {**EliasFano.build(before + w.astype(U64), "words"), "width": np.array([width], U64), **EliasFano.build(np.append(0, np.cumsum(size_)), "pointers"), "prob": quantised(prob), "backoff": backoff, "counts": c.astype(np.uint32 if c.max() < 1 << 32 else U64), **({"last": w.astype(np.uint32 if w.max() < 1 << 32 else U64), "parent": p} if k < order else {})}
+            parts = {**EliasFano.build(before + w.astype(U64), "words"), "width": np.array([width], U64), **EliasFano.build(np.append(0, np.cumsum(size_)), "pointers"), "prob": quantised(prob), "backoff": backoff}
+            if k < order:  # what the next level is made from
+                parts |= {"counts": c.astype(np.uint32 if c.max() < 1 << 32 else U64), "last": w.astype(np.uint32 if w.max() < 1 << 32 else U64), **({"parent": p} if k > 2 else {})}
             return first, len(p), parts
 
         levels = [*levels, shards(grams.select("p", "w", "c"), "p", level, f"lm{k}")]
+        swept(spark, grams)
     return levels, total, size
 
 
@@ -355,7 +379,7 @@ def score(docs: DataFrame, model: tuple, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = opened(shared.value)
-        for b in chunks(batches, 1):
+        for b in chunks(batches, 1, 24 * TOKENS):
             out = m.score([t or "" for t in b.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x) for x in out)], ["id", "n_tokens", "n_known", "base_score", "score"])
 

@@ -54,7 +54,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = lm.train(docs, remainder("doc_id", 5) != 1)
+    model = lm.train(docs, remainder("doc_id", 5) != 1, min_count=1)
     return lm.score(docs, model).select(F.col("id").alias("doc_id"), (remainder("id", 5) == 1).alias("held_out"), "n_tokens", "n_known", F.lit(model[1]).cast("long").alias("train_tokens"), "base_score", "score")
 
 
