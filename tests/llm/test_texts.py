@@ -48,6 +48,20 @@ def test_divergence_rejects_what_is_unlike_its_language(spark, prose_of):
     assert all(got[i] for i, *_ in good) and not any(got[i] for i, *_ in odd)
 
 
+def test_flat_and_small_languages_have_references(spark):
+    flat = [(i, " ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + i % 26)}{chr(97 + i // 26)}" for k in range(60)), "flat") for i in range(40)]
+    small = [(100 + i, " ".join(f"{w}{k}" for k in range(6) for w in "good plain words of a small language that says little".split()), "small") for i in range(3)]
+    mute = [(200 + i, "\n" * 300, "mute") for i in range(2)]
+    junk = [(300, " ".join(f"9{k:04d}#" for k in range(60)), "flat"), (301, " ".join(f"9{k:04d}#" for k in range(60)), "small")]
+    got = {x["id"]: x for x in quality_rules.verdicts(spark.createDataFrame(flat + small + mute + junk, "doc_id long, text string, lang string")).collect()}
+    assert all(got[i]["char_divergence"] is not None and (got[i]["word_divergence"] is not None) == (lang == "flat") for i, _, lang in flat + small + junk)
+    assert not got[300]["kept"] and not got[301]["kept"] and all(got[i]["kept"] for i, *_ in flat + small)
+    assert all(got[i]["char_divergence"] == 0 and got[i]["word_divergence"] is None for i, *_ in mute)
+    refs = {r["lang"]: r for r in quality_rules.references(spark.createDataFrame(flat, "doc_id long, text string, lang string")).collect()}
+    counts = Counter(w for _, t, _ in flat for w in t.split())
+    assert refs["flat"]["words"] == sorted(counts, key=lambda w: (-counts[w], w))[:20]
+
+
 def test_divergence_is_jensen_shannon(spark):
     p, q = [0.5, 0.5, 0.0], [0.25, 0.25, 0.5]
     m = [(a + b) / 2 for a, b in zip(p, q)]

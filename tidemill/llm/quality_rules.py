@@ -3,13 +3,13 @@
 Each language gets two references, counted over all of its documents: the histogram of its character
 classes, and that of its ``TOP`` most common words (all others as one class).  A document is held against
 both by Jensen-Shannon divergence (base 2, so 0 to 1) and rejected beyond a threshold.  Guards: below
-``MIN_CHARS`` characters, or ``MIN_WORDS`` words, a histogram says nothing and that comparison is left out;
-nor is there a verdict for a language with less than ``MIN_REFERENCE`` words in all.
+``MIN_CHARS`` characters, or ``MIN_WORDS`` words, a histogram says nothing and that comparison is left out.
+Every language has a reference of characters; one of words needs ``MIN_REFERENCE`` words in all, however flat they are.
 
 Counts for the rules of thumb: characters in words, symbols, lines that repeat an earlier one, and words that
 lie in 5-word windows found twice or more.  All are worked out inside the row, so texts are never shuffled; what is
-shuffled are word counts by language, combined on the map side.  A word can be common only if it has a
-thousandth of its language's words, of which there are at most a thousand: ranking them is bounded work.
+shuffled are word counts by language, combined on the map side.  Ranking takes the best ``TOP`` of each
+partition before any shuffle, so it is bounded work for a language with any number of words.
 
 Defined results: a null text has no words and fails; a null language is a language of its own; rows may repeat;
 an empty table gives an empty result; other columns are left alone.
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import SPACE, WORD, stored, text_of
 
-TOP, SHARE = 20, 1000
+TOP = 20
 MIN_CHARS, MIN_WORDS, MIN_REFERENCE = 200, 50, 1000
 MAX_CHAR_DIVERGENCE, MAX_WORD_DIVERGENCE = 0.10, 0.17
 #: Languages whose references are broadcast (some 2 kB each); with more, they are joined by shuffle.
@@ -68,13 +68,12 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
     words = docs.select(*lang, F.explode(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))).alias("w")).groupBy("no_lang", "lang", "w").agg(F.count(F.lit(1)).alias("n"))
     words = stored(words, "words")  # used twice
     total = words.groupBy("no_lang", "lang").agg(F.sum("n").alias("total"))
-    total = F.broadcast(total) if total.count() <= BROADCAST_LANGUAGES else total  # so that rare words are dropped where they are, before ranking
     first = Window.partitionBy("no_lang", "lang").orderBy(F.desc("n"), "w")
-    common = words.join(total, ["no_lang", "lang"]).filter(F.col("n") * SHARE >= F.col("total")).withColumn("k", F.row_number().over(first)).filter(F.col("k") <= TOP)
-    common = common.groupBy("no_lang", "lang", "total").agg(F.sort_array(F.collect_list(F.struct("k", "w", "n"))).alias("top")).filter(F.col("total") >= MIN_REFERENCE)
+    common = words.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= TOP)  # a limit by group: each task passes on TOP of its words
+    common = common.join(total, ["no_lang", "lang"]).groupBy("no_lang", "lang", "total").agg(F.sort_array(F.collect_list(F.struct("k", "w", "n"))).alias("top")).filter(F.col("total") >= MIN_REFERENCE)
     share = F.transform("top", lambda t: t["n"] / F.col("total"))
     common = common.select("no_lang", "lang", F.transform("top", lambda t: t["w"]).alias("words"), F.concat(share, F.array(1 - F.aggregate(share, F.lit(0.0), lambda s, x: s + x))).alias("word_shares"))
-    return stored(by_class.join(common, ["no_lang", "lang"]), "references")
+    return stored(by_class.join(common, ["no_lang", "lang"], "left"), "references")
 
 
 def repeated_words(words: str, grams: str, sorted_: str) -> tuple[Column, Column, Column]:
