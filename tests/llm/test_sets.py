@@ -170,3 +170,13 @@ def test_weights_favour_heavy_documents(spark):
     got = mixing.mix(extra, weight=F.col("weight")).filter("id < 10000").collect()
     times = {r["id"]: r["times"] for r in got}
     assert sum(times[i] for i in range(1500)) >= sum(times[i] for i in range(1500, 3000))
+
+
+def test_near_copies_go_whatever_their_ids(spark, prose_of):
+    a, b = prose_of(70, 300), prose_of(71, 300)
+    rows = [(None, a), (None, a + " end"), (None, a), (7, b), (7, b + " end"), (8, b), (None, b + " end"), (None, None), (None, None), (9, prose_of(72, 50)), (9, prose_of(73, 50))]
+    got = near_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    texts = Counter(x["text"] for x in got)
+    assert sum(n for t, n in texts.items() if t and t.startswith(a)) == 1
+    assert [x["doc_id"] for x in got if x["text"] and x["text"].startswith(b)] == [7]
+    assert texts[None] == 2 and sum(x["doc_id"] == 9 for x in got) == 2 and len(got) == 6

@@ -35,10 +35,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import stored
+from .common import fresh, stored, text_of
 
 SHINGLE, SIMILARITY = 5, 80
 BANDS, ROWS = 44, 5
@@ -107,10 +107,10 @@ def unpacked(data: bytes) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
-def signatures(docs: DataFrame, n: int, id_col: str, text_col: str, salt: int) -> DataFrame:
-    """Stored, one row per document: row, id, n, node, check, keys, bits, members (the packed set)."""
+def signatures(docs: DataFrame, n: int, id_col: str, text_col: str, salt: int, digest: Column) -> DataFrame:
+    """Stored, one row per document: row, id, digest (as given), n, node, check, keys, bits, members (the packed set)."""
     kind = docs.schema[id_col].dataType
-    schema = f"id {kind.simpleString()}, n long, node long, check long, keys array<long>, b0 long, b1 long, b2 long, b3 long, members binary"
+    schema = f"id {kind.simpleString()}, digest binary, n long, node long, check long, keys array<long>, b0 long, b1 long, b2 long, b3 long, members binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, sign = Hashes(), Signer()
@@ -127,11 +127,11 @@ def signatures(docs: DataFrame, n: int, id_col: str, text_col: str, salt: int) -
                     node, check = (np.array([xxhash.xxh3_64_intdigest(data, seed=2 * salt + k) for k in (0, 1)], np.uint64).view(np.int64)).tolist()
                     rows.append((len(s), node, check, keys, *bits.tolist(), packed(s)))
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(to_arrow_type(kind)), *columns], names)
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(to_arrow_type(kind)), part.column(2).cast(pa.binary()), *columns], names)
 
     types = [pa.int64()] * 3 + [pa.list_(pa.int64())] + [pa.int64()] * 4 + [pa.binary()]
-    names = ["id", "n", "node", "check", "keys", "b0", "b1", "b2", "b3", "members"]
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    names = ["id", "digest", "n", "node", "check", "keys", "b0", "b1", "b2", "b3", "members"]
+    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), digest.alias("digest")).mapInArrow(run, schema)
     return stored(out.withColumn("row", F.monotonically_increasing_id()), "signatures")
 
 
@@ -285,8 +285,13 @@ def compared(rest: DataFrame, bits: DataFrame, sets: DataFrame, similarity: int)
 
 def linked(docs: DataFrame, n: int = SHINGLE, similarity: int = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, row, n_shingles, component_id (the smallest id of its component), kept."""
+    return grouped_rows(docs, n, similarity, id_col, text_col, F.lit(None).cast("binary")).drop("digest", "group")
+
+
+def grouped_rows(docs: DataFrame, n: int, similarity: int, id_col: str, text_col: str, digest: Column) -> DataFrame:
+    """``linked`` with digest (as given) and group: a number of the component, null for what has an empty set or no copy and no link."""
     for salt in range(8):
-        docs_sigs = signatures(docs, n, id_col, text_col, salt)
+        docs_sigs = signatures(docs, n, id_col, text_col, salt, digest)
         sigs = docs_sigs.filter("node IS NOT NULL")
         ids = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"))
         node = sigs.groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min(ids).alias("least"), F.min("row").alias("first"), F.min("check").alias("c"), F.max("check").alias("d"))
@@ -352,13 +357,31 @@ def linked(docs: DataFrame, n: int = SHINGLE, similarity: int = SIMILARITY, id_c
     least = node.select("node", "least", "copies").join(of, F.col("node") == F.col("at"), "left").filter("copies > 1 OR label IS NOT NULL").withColumn("label", F.coalesce("label", "node"))
     least = stored(least.select("node", "label", "least"), "least")
     top = stored(least.groupBy("label").agg(F.min("least").alias("top")), "top")
-    place = stored(least.select("node", "label").join(top, "label").select(F.col("node").alias("at"), F.col("top.id").alias("component_id"), F.lit(True).alias("found")), "components")
-    out = docs_sigs.select("row", "id", "n", "node").join(place, F.col("node") == F.col("at"), "left")
+    place = stored(least.select("node", "label").join(top, "label").select(F.col("node").alias("at"), F.col("label").alias("group"), F.col("top.id").alias("component_id"), F.lit(True).alias("found")), "components")
+    out = docs_sigs.select("row", "id", "digest", "n", "node").join(place, F.col("node") == F.col("at"), "left")
     component = F.when(F.col("found"), F.col("component_id")).otherwise(F.col("id"))
-    return out.select("id", "row", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    return out.select("id", "row", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"), "digest", "group")
 
 
 def deduplicate(docs: DataFrame, n: int = SHINGLE, similarity: int = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, one document of each component; rows that share an id stay or go together."""
-    gone = linked(docs, n, similarity, id_col, text_col).filter(~F.col("kept")).select(F.col("id").alias("__id")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__id"], "left_anti")
+    """The rows of ``docs``, all columns, one row of each component: that of the smallest id, null last.  Rows are matched by id and digest of
+    the text, so ids that repeat, or are null, are safe; of rows that agree in both, which are of one component, one stays at most."""
+    own, number = fresh(docs, "near_digest"), fresh(docs, "near_number")
+    digest = F.unhex(F.sha2(text_of(text_col), 256))
+    rows = grouped_rows(docs, n, similarity, id_col, text_col, digest).filter("group IS NOT NULL").select("id", "digest", "group", F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("row").alias("row")).alias("rank"))
+    same = stored(rows.groupBy("id", "digest", "group").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("rank")), "same")
+    first = stored(same.groupBy("group").agg(F.min("rank").alias("first")), "first")
+    same = same.join(first, "group").select(F.col("id").alias("__id"), F.col("digest").alias("__digest"), "n", (F.col("rank") == F.col("first")).alias("stays"))
+    gone = stored(same.filter("NOT stays OR n > 1"), "gone")
+    once = gone.filter("stays")
+    docs = docs.withColumn(own, digest)
+
+    def match(of: DataFrame) -> Column:
+        return docs[id_col].eqNullSafe(of["__id"]) & (docs[own] == of["__digest"])
+
+    out = docs.join(gone, match(gone), "left_anti").drop(own)
+    if once.isEmpty():
+        return out
+    any_ = Window.partitionBy(id_col, own).orderBy(own)
+    one = docs.join(once, match(once), "left_semi").withColumn(number, F.row_number().over(any_)).filter(F.col(number) == 1)
+    return out.unionByName(one.drop(own, number))
