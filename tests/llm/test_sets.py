@@ -180,3 +180,15 @@ def test_near_copies_go_whatever_their_ids(spark, prose_of):
     assert sum(n for t, n in texts.items() if t and t.startswith(a)) == 1
     assert [x["doc_id"] for x in got if x["text"] and x["text"].startswith(b)] == [7]
     assert texts[None] == 2 and sum(x["doc_id"] == 9 for x in got) == 2 and len(got) == 6
+
+
+def test_mixed_rows_keep_their_own_times(spark):
+    rows = [(None, f"{s} text {i} with some more words", s) for s in "abc" for i in range(40)] + [(1, "the same words", "a")] * 9
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = Counter()
+    for x in mixing.mix(docs).collect():
+        want[x["target"]] += x["taken"]  # each source has a target of its own
+    got = {s: 0 for s in "abc"}
+    for x in mixing.mixed(docs).collect():
+        got[x["source"]] += len(x["text"].split())
+    assert len(want) == 3 and sorted(got.values()) == sorted(want.values())

@@ -58,12 +58,13 @@ def targets(sizes: DataFrame, weights: tuple = (1, 2, 3), epochs: float = 3) ->
     return each.withColumn("target", F.least("cap", first * F.col("w"))).select("no_source", "source", "source_size", "target")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight: Column | None = None, seed: str = "mix", weights: tuple = (1, 2, 3), epochs: float = 3) -> DataFrame:
-    """One row per document: id, row, size, source_size, target, times (copies the mix takes), taken (words)."""
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight: Column | None = None, seed: str = "mix", weights: tuple = (1, 2, 3), epochs: float = 3, digest: Column | None = None) -> DataFrame:
+    """One row per document: id, row, size, source_size, target, times (copies the mix takes), taken (words), and digest if one is given."""
+    carried = [] if digest is None else [digest.alias("digest")]
     weight = quality_weight(F.col(text_col)) if weight is None else weight
     sized = docs.select(
         F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.col(source_col).isNull().alias("no_source"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"),
-        n_words(F.col(text_col)).alias("size"), key_of(F.col(id_col), weight, seed).alias("key"),
+        n_words(F.col(text_col)).alias("size"), key_of(F.col(id_col), weight, seed).alias("key"), *carried,
     )
     sized = stored(sized, "sizes")  # the texts are read once
     n = max(256, math.ceil(sized.count() / BUCKET_ROWS))
@@ -79,13 +80,22 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     inside = Window.partitionBy("no_source", "source", "bucket").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
     taken = F.coalesce(F.sum("size").over(inside), F.lit(0)) + F.col("size") / 2 <= F.col("left")
     out = place.join(budget, ["no_source", "source", "bucket"]).withColumn("times", F.when(F.col("size") > 0, F.col("full") + F.when(taken, 1).otherwise(0)).otherwise(0).cast("long"))
-    return out.select("id", "row", "size", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken"))
-
-
-def mixed(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it.  Rows are matched by id: rows that share one id are
-    each taken as often as the first of them."""
-    own, times, copy = (fresh(docs, x) for x in ("mixed_id", "mixed_times", "mixed_copy"))
-    taken = mix(docs, id_col, **how).groupBy(F.col("id").alias(own)).agg(F.max("times").alias(times)).filter(F.col(times) > 0)
-    both = docs.join(taken, docs[id_col].eqNullSafe(taken[own]))
-    return both.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).drop(own, times, copy)
+    return out.select("id", "row", "size", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken"), *(["digest"] if carried else []))
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it.  Rows are matched by id and digest of source and text; rows that agree
+    in these share what the mix takes of them, so that they differ by one copy at most, as in the mix."""
+    own, digest, copy, number = (fresh(docs, x) for x in ("mixed_id", "mixed_digest", "mixed_copy", "mixed_number"))
+    times, more = (fresh(docs, x) for x in ("mixed_times", "mixed_more"))
+    source = F.col(source_col).cast("string")
+    of = F.unhex(F.sha2(F.concat(F.when(source.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.length(source).cast("string"), F.lit(":"), source)), text_of(text_col)), 256))
+    taken = mix(docs, id_col, text_col, source_col, digest=of, **how).groupBy(F.col("id").alias(own), F.col("digest").alias("__digest")).agg(F.min("times").alias(times), F.sum(F.col("times")).alias("all"), F.count(F.lit(1)).alias("n"))
+    taken = stored(taken.filter("all > 0").select(own, "__digest", times, (F.col("all") - F.col("n") * F.col(times)).alias(more)), "times")
+    docs = docs.withColumn(digest, of)
+    both = docs.join(taken, docs[id_col].eqNullSafe(taken[own]) & (docs[digest] == taken["__digest"])).drop("__digest")
+    even = both.filter(F.col(more) == 0)
+    if not taken.filter(F.col(more) > 0).isEmpty():
+        uneven = both.filter(F.col(more) > 0).withColumn(number, F.row_number().over(Window.partitionBy(own, digest).orderBy(digest)))
+        even = even.unionByName(uneven.withColumn(times, F.col(times) + F.when(F.col(number) <= F.col(more), 1).otherwise(0)).drop(number))
+    return even.filter(F.col(times) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).drop(own, digest, times, more, copy)
