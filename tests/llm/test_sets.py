@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -192,3 +193,20 @@ def test_mixed_rows_keep_their_own_times(spark):
     for x in mixing.mixed(docs).collect():
         got[x["source"]] += len(x["text"].split())
     assert len(want) == 3 and sorted(got.values()) == sorted(want.values())
+
+
+@pytest.mark.parametrize("similarity", [20, 50, 70])
+def test_lower_similarities_lose_no_pair(similarity):
+    draw = np.random.default_rng(similarity)
+    sign, (_, _, least) = near_dedup.Signer(similarity=similarity), near_dedup.shape(similarity)
+    for _ in range(100):
+        h = draw.integers(0, 1 << 63, 300, np.uint64) * np.uint64(2)
+        common, rest = h[: 3 * similarity], h[3 * similarity :]
+        (x, p), (y, q) = sign(np.append(common, rest[::2])), sign(np.append(common, rest[1::2]))
+        assert (x == y).any() and 220 - np.bitwise_count((p ^ q).view(np.uint64)).sum() >= least
+
+
+def test_similarity_out_of_reach():
+    assert near_dedup.shape(80) == (44, 5, 167)
+    with pytest.raises(ValueError):
+        near_dedup.shape(5)

@@ -49,6 +49,18 @@ WIDTH = 5
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
+def shape(similarity: int) -> tuple[int, int, int]:
+    """Bands, rows and least bits: those above from 80 on; for less, so few rows that a pair shares no band with probability 3e-8 at most,
+    and least bits seven standard deviations below what the similarity gives."""
+    if similarity >= SIMILARITY:
+        return BANDS, ROWS, LEAST_BITS
+    s, n = similarity / 100, 2 * PERMUTATIONS
+    for rows in range(ROWS, 0, -1):
+        if (1 - s**rows) ** (n // rows) <= 3e-8:
+            return n // rows, rows, int(n * (1 + s) / 2 - 7 * (n * (1 - s * s) / 4) ** 0.5)
+    raise ValueError(f"similarity {similarity} is too low for {n} signature values")
+
+
 class Hashes(dict):
     """Word to 64-bit hash, remembered; emptied when it grows too large."""
 
@@ -75,11 +87,12 @@ def shingles(text: str, n: int, hashes: Hashes) -> np.ndarray:
 
 
 class Signer:
-    def __init__(self, seed: int = 5):
+    def __init__(self, seed: int = 5, similarity: int = SIMILARITY):
         draw = np.random.default_rng(seed)
+        self.bands, self.rows, _ = shape(similarity)
         self.a = draw.integers(0, 1 << 31, PERMUTATIONS, np.uint32) * np.uint32(2) + np.uint32(1)
         self.b = draw.integers(0, 1 << 32, PERMUTATIONS, np.uint32)
-        self.mix = draw.integers(0, 1 << 63, (BANDS, ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
+        self.mix = draw.integers(0, 1 << 63, (self.bands, self.rows), np.uint64) * np.uint64(2) + np.uint64(1)
 
     def __call__(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bucket keys, and the signature's bits in four numbers."""
@@ -90,8 +103,8 @@ class Signer:
                 v = self.a[:, None] * x[None, i : i + 4096] + self.b[:, None]
                 least, most = np.minimum(least, v.min(1)), np.maximum(most, v.max(1))
             signature = np.concatenate([least, most])
-            v = (signature.reshape(BANDS, ROWS).astype(np.uint64) * self.mix).sum(1, dtype=np.uint64)
-            keys = ((v ^ (v >> np.uint64(31))) + np.arange(BANDS, dtype=np.uint64)) * _M1
+            v = (signature[: self.bands * self.rows].reshape(self.bands, self.rows).astype(np.uint64) * self.mix).sum(1, dtype=np.uint64)
+            keys = ((v ^ (v >> np.uint64(31))) + np.arange(self.bands, dtype=np.uint64)) * _M1
             bits = ((signature ^ (signature >> np.uint32(15))) * np.uint32(0x9E3779B1)) >> np.uint32(31)
         bits = np.packbits(np.append(bits.astype(np.uint8), np.zeros(256 - 2 * PERMUTATIONS, np.uint8)))
         return keys.view(np.int64), bits.view(np.int64)
@@ -107,13 +120,13 @@ def unpacked(data: bytes) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
-def signatures(docs: DataFrame, n: int, id_col: str, text_col: str, salt: int, digest: Column) -> DataFrame:
+def signatures(docs: DataFrame, n: int, id_col: str, text_col: str, salt: int, digest: Column, similarity: int) -> DataFrame:
     """Stored, one row per document: row, id, digest (as given), n, node, check, keys, bits, members (the packed set)."""
     kind = docs.schema[id_col].dataType
     schema = f"id {kind.simpleString()}, digest binary, n long, node long, check long, keys array<long>, b0 long, b1 long, b2 long, b3 long, members binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, sign = Hashes(), Signer()
+        hashes, sign = Hashes(), Signer(similarity=similarity)
         for b in batches:
             for part in (b.slice(i, 200) for i in range(0, b.num_rows, 200)):
                 rows: list[tuple] = []
@@ -143,7 +156,7 @@ def agreeing(x: str, y: str) -> F.Column:
 def alike(x: str, y: str, similarity: int) -> F.Column:
     """What similarity needs of sizes and signature bits."""
     a, b = F.col(f"{x}.n"), F.col(f"{y}.n")
-    return (100 * F.least(a, b) >= similarity * F.greatest(a, b)) & (agreeing(x, y) >= LEAST_BITS)
+    return (100 * F.least(a, b) >= similarity * F.greatest(a, b)) & (agreeing(x, y) >= shape(similarity)[2])
 
 
 def confirmed(edges: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
@@ -215,11 +228,12 @@ def blocks(rows: DataFrame, group: str, size: int) -> DataFrame:
 def possible(g: dict, similarity: int) -> Iterator[tuple[int, np.ndarray]]:
     """For each row of a group, the later rows with another label that it may be similar enough to; of two blocks, those of the other."""
     bits = np.stack([g[f"b{k}"] for k in range(4)], 1).view(np.uint64)
+    least = shape(similarity)[2]
     n, label, own, two = g["n"], g["label"], g["own"], g["i"][0] != g["j"][0]
     for x in range(len(n) - 1):
         y = np.flatnonzero((label[x + 1 :] != label[x]) & (100 * np.minimum(n[x + 1 :], n[x]) >= similarity * np.maximum(n[x + 1 :], n[x])) & ((own[x + 1 :] != own[x]) | (not two))) + x + 1
         if len(y):
-            y = y[2 * PERMUTATIONS - np.bitwise_count(bits[y] ^ bits[x]).sum(1, dtype=np.int64) >= LEAST_BITS]
+            y = y[2 * PERMUTATIONS - np.bitwise_count(bits[y] ^ bits[x]).sum(1, dtype=np.int64) >= least]
             if len(y):
                 yield x, y
 
@@ -291,7 +305,7 @@ def linked(docs: DataFrame, n: int = SHINGLE, similarity: int = SIMILARITY, id_c
 def grouped_rows(docs: DataFrame, n: int, similarity: int, id_col: str, text_col: str, digest: Column) -> DataFrame:
     """``linked`` with digest (as given) and group: a number of the component, null for what has an empty set or no copy and no link."""
     for salt in range(8):
-        docs_sigs = signatures(docs, n, id_col, text_col, salt, digest)
+        docs_sigs = signatures(docs, n, id_col, text_col, salt, digest, similarity)
         sigs = docs_sigs.filter("node IS NOT NULL")
         ids = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"))
         node = sigs.groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min(ids).alias("least"), F.min("row").alias("first"), F.min("check").alias("c"), F.max("check").alias("d"))
