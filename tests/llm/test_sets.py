@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 from collections import Counter, defaultdict
@@ -11,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemill.llm import exact_dedup, mixing, near_dedup
+from tidemill.llm.queries import QUERIES
 
 SPACE = re.compile(r"[\x20\x09-\x0D]")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -115,8 +117,8 @@ def test_signatures_estimate_similarity():
     shared, a, b = (np.array([r.getrandbits(64) for _ in range(n)], np.uint64) for n in (800, 100, 100))
     x, y = (np.sort(np.concatenate([shared, z])) for z in (a, b))
     (kx, bx), (ky, by) = sign(x), sign(y)
-    agree = 220 - int(np.bitwise_count((bx ^ by).view(np.uint64)).sum())
-    assert agree >= near_dedup.LEAST_BITS and (kx == ky).any()
+    agree = 220 - int(near_dedup.unlike_values(bx.view(np.uint64), by.view(np.uint64)))
+    assert agree >= near_dedup.LEAST_AGREEING and (kx == ky).any()
     assert (near_dedup.unpacked(near_dedup.packed(x)) == x >> np.uint64(24)).all()
 
 
@@ -203,10 +205,84 @@ def test_lower_similarities_lose_no_pair(similarity):
         h = draw.integers(0, 1 << 63, 300, np.uint64) * np.uint64(2)
         common, rest = h[: 3 * similarity], h[3 * similarity :]
         (x, p), (y, q) = sign(np.append(common, rest[::2])), sign(np.append(common, rest[1::2]))
-        assert (x == y).any() and 220 - np.bitwise_count((p ^ q).view(np.uint64)).sum() >= least
+        assert (x == y).any() and 220 - near_dedup.unlike_values(p.view(np.uint64), q.view(np.uint64)) >= least
 
 
 def test_similarity_out_of_reach():
-    assert near_dedup.shape(80) == (44, 5, 167)
+    assert near_dedup.shape(80) == (44, 5, 138)
     with pytest.raises(ValueError):
         near_dedup.shape(5)
+
+
+def test_joined_labels_are_a_union_find():
+    for seed in range(20):
+        r, joined, parent = random.Random(seed), near_dedup.Joined(), list(range(400))
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        spanning = 0
+        for _ in range(3000):
+            x, y = r.randrange(400), r.randrange(400)
+            spanning += joined.join(x, y)
+            a, b = find(x), find(y)
+            parent[max(a, b)] = min(a, b)
+        assert spanning < 400 and [joined.root(x) for x in range(400)] == [find(x) for x in range(400)]
+    chain = near_dedup.Joined()
+    for x in (3, 2, 1, 0):
+        chain.join(x, x + 1)
+    assert chain.root(4) == 0
+
+
+def half_similar(seed, n, shared=70, own=17):
+    """Texts that share most of their words' windows, each pair about 0.67 alike: many candidates, no links."""
+    r = random.Random(seed)
+    base = [f"b{r.randrange(10**6)}" for _ in range(shared)]
+    return [" ".join(base + [f"o{r.randrange(10**9)}" for _ in range(own)]) for _ in range(n)]
+
+
+def test_edges_of_a_half_similar_family_are_fewer_than_its_rows(spark):
+    texts = half_similar(1, 1500)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sigs = near_dedup.signatures(docs, 2, "doc_id", "text", 0, 80, False)
+    rows = sigs.select("node", F.explode("keys").alias("key"), F.col("node").alias("label"), "n", *near_dedup.BIT_COLUMNS)
+    found = near_dedup.neighbours(rows, 80)
+    assert found.count() < rows.count() / 4
+    got = near_dedup.linked(docs, n=2).collect()
+    assert all(r["component_id"] == r["id"] for r in got)
+
+
+def test_deduplicate_keeps_unique_texts_that_share_an_id(spark, prose_of):
+    a, u = prose_of(90, 200), prose_of(91, 60)
+    rows = [(1, a), (2, a + " end"), (2, u), (None, a), (None, u), (None, None), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    near = sorted((x["doc_id"] or 0, x["text"] or "") for x in near_dedup.deduplicate(docs).collect())
+    assert near == sorted([(1, a), (2, u), (0, ""), (3, "")])
+    exact = sorted((x["doc_id"] or 0, x["text"] or "") for x in exact_dedup.deduplicate(docs).collect())
+    assert exact == sorted([(1, a), (2, a + " end"), (2, u), (3, "")])
+
+
+def test_texts_stay_where_they_are(spark, tmp_path, prose_of):
+    path = f"{tmp_path}/docs"
+    spark.createDataFrame([(k % 40, prose_of(k % 40, 30), "s") for k in range(80)], "doc_id long, text string, source string").write.parquet(path)
+    for stage in (exact_dedup.deduplicate, near_dedup.deduplicate, mixing.mixed):
+        out = stage(spark.read.parquet(path))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastExchange" in plan and "hashpartitioning" not in plan and out.count() >= 40
+
+
+def test_large_numbers_of_copies_are_joined_by_shuffle(spark, monkeypatch):
+    from tidemill.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 3)
+    docs = spark.createDataFrame([(k, f"text {k % 7}") for k in range(70)], "doc_id long, text string")
+    assert sorted(x["doc_id"] for x in exact_dedup.deduplicate(docs).collect()) == list(range(7))
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the test data")
+def test_near_query_finds_what_all_pairs_give(spark):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    got = [(x["doc_id"], x["n_shingles"], x["component_id"]) for x in QUERIES["op10_near_dedup"](spark, "/root/testdata/sf0.01").collect()]
+    assert order(got) == order(plain_components(rows, 2, 80))

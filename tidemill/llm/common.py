@@ -9,6 +9,7 @@ import zipfile
 from pathlib import Path
 from urllib.parse import urlparse
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: White space of the word rule, as a regex class body (Java, RE2 and Python read it alike).
@@ -100,3 +101,60 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+#: Rows that a join by row key broadcasts, at most (24 bytes each); more go through a shuffle.
+BROADCAST_ROWS = 1 << 20
+_PLAIN = {"LogicalRelation", "Project", "Filter", "SubqueryAlias"}
+
+
+def addressed(docs: DataFrame, *columns: Column) -> tuple[DataFrame, DataFrame]:
+    """(docs, slim): the rows of ``docs``, and ``columns`` of them next to the row's address, ``file`` (a hash of its path) and ``at`` (its place in it).
+    Rows of files have an address as they are; other rows, which may come in another order when they are worked out again, are stored first."""
+
+    def plain(node) -> bool:
+        below = node.children()
+        return node.getClass().getSimpleName() in _PLAIN and all(plain(below.apply(i)) for i in range(below.size()))
+
+    def read(df: DataFrame) -> DataFrame:
+        place = df.metadataColumn("_metadata")
+        return df.select(*columns, F.xxhash64(place["file_path"]).alias("file"), place["row_index"].alias("at"))
+
+    if plain(docs._jdf.queryExecution().analyzed()):
+        try:
+            return docs, read(docs)
+        except AnalysisException:  # files of another format, which don't number their rows
+            pass
+    docs = stored(docs, "rows")
+    return docs, read(docs)
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (as ``addressed`` returned them) whose address is not in the stored table ``gone`` (file, at).  The rows that
+    stay aren't moved while those that go are few."""
+    n = gone.count()
+    if not n:
+        return docs
+    gone = F.broadcast(gone) if n <= BROADCAST_ROWS else gone
+    place = docs.metadataColumn("_metadata")
+    return docs.join(gone, (F.xxhash64(place["file_path"]) == gone["file"]) & (place["row_index"] == gone["at"]), "left_anti")
+
+
+class Remembered(dict):
+    """Word to what ``make`` makes of it, remembered; emptied when it takes more than ``limit`` bytes, however long the words are."""
+
+    def __init__(self, make, limit: int = 24 << 20):
+        super().__init__()
+        self.make, self.limit, self.bytes = make, limit, 0
+
+    def __missing__(self, word):
+        made = self.make(word)
+        cost = 2 * len(word) + 200  # with the value and the table's slots
+        if cost > self.limit >> 8:
+            return made
+        if self.bytes > self.limit:
+            self.clear()
+            self.bytes = 0
+        self.bytes += cost
+        self[word] = made
+        return made

@@ -15,9 +15,9 @@ table gives an empty result; other columns, whatever their names, are left alone
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import SPACE, fresh, stored, text_of
+from .common import SPACE, addressed, stored, text_of, without
 
 MIN_CHUNK, MAX_CHUNK = 1024, 8192
 #: Sentence and clause marks, Latin and CJK, at which chunks end.
@@ -29,16 +29,18 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(text_of(text), f"[{SPACE}]+", "")
 
 
-def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, row (unique), n_chars of the original text, text_sha256, chunk ids and digests.
-    It reads the texts once and is stored."""
+def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", address: bool = False) -> DataFrame:
+    """One row per document: id, row (unique), n_chars of the original text, text_sha256, chunk ids and digests, and the row's
+    file and at if they are asked for.  It reads the texts once and is stored."""
+    columns = [F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.length(text_of(text_col)).cast("long").alias("n_chars"), normalised(F.col(text_col)).alias("t")]
+    rows = addressed(docs, *columns)[1] if address else docs.select(*columns)
     out = (
-        docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.length(text_of(text_col)).cast("long").alias("n_chars"), normalised(F.col(text_col)).alias("t"))
-        .withColumn("chunks", F.regexp_extract_all("t", F.lit(CHUNK), F.lit(0)))
+        rows.withColumn("chunks", F.regexp_extract_all("t", F.lit(CHUNK), F.lit(0)))
         .select(
             "id", "row", "n_chars", F.sha2("t", 256).alias("text_sha256"),
             F.transform("chunks", lambda c: F.xxhash64(c)).alias("ids"),
             F.transform("chunks", lambda c: F.unhex(F.sha2(c, 256))).alias("digests"),
+            *(["file", "at"] if address else []),
         )
     )
     return stored(out, "recipes")
@@ -56,32 +58,32 @@ def verified(recipes: DataFrame) -> bool:
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, row, keep_id, group_size, kept, text_sha256.  Of equal texts, that with the
-    most code points before normalisation stays, then that with the smallest id.
+    most code points before normalisation stays, then that with the smallest id."""
+    return judged(recipes(docs, id_col, text_col)).drop("ids", "digests")
+
+
+def judged(rec: DataFrame) -> DataFrame:
+    """The recipes with keep_id, group_size and kept.
 
     Counting groups combines on the map side, so a group of any size is one row per task; only groups of two
     or more are joined back, from a stored table, which lets the engine broadcast it if it is small and split
     the skewed side of the join if it is not."""
-    rec = recipes(docs, id_col, text_col)
     key = "ids" if verified(rec) else "digests"
     rank = F.struct((-F.col("n_chars")).alias("a"), F.col("id").isNull().alias("b"), F.col("id").alias("c"), F.col("row").alias("d"))
     many = rec.groupBy(key).agg(F.count(F.lit(1)).alias("group_size"), F.min(rank).alias("first")).filter("group_size > 1")
     many = stored(many.select(F.col(key).alias("k"), "group_size", F.col("first.c").alias("keep_id"), F.col("first.d").alias("keep_row")), "copies")
-    rec = rec.select("id", "row", "text_sha256", F.col(key).alias("recipe"))
-    return rec.join(many, rec["recipe"] == many["k"], "left").select(
+    return rec.join(many, rec[key] == many["k"], "left").select(
         "id", "row",
         F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         F.coalesce(F.col("row") == F.col("keep_row"), F.lit(True)).alias("kept"),
-        "text_sha256",
+        "text_sha256", "ids", "digests", *(c for c in ("file", "at") if c in rec.columns),
     )
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, less the copies.  Rows are matched by id and digest of the text, so ids
-    that repeat with other texts are safe; of rows that agree in both, one stays."""
-    have, n = fresh(docs, "text_digest"), fresh(docs, "copy_number")
-    keep = groups(docs, id_col, text_col).filter("kept").select(F.col("id").alias("kept_id"), F.col("text_sha256").alias("kept_digest"))
-    rows = docs.withColumn(have, F.sha2(normalised(F.col(text_col)), 256))
-    rows = rows.join(keep, rows[id_col].eqNullSafe(keep["kept_id"]) & (rows[have] == keep["kept_digest"]), "left_semi")
-    first = Window.partitionBy(id_col, have).orderBy(F.length(text_of(text_col)).desc())
-    return rows.withColumn(n, F.row_number().over(first)).filter(F.col(n) == 1).drop(n, have)
+    """The rows of ``docs``, all columns, less the copies.  Rows are told apart by their address, so ids that repeat or are null
+    are safe; of rows that agree in everything, one stays.  Texts stay where they are while copies are few (``common.BROADCAST_ROWS``)."""
+    docs, _ = addressed(docs)
+    gone = judged(recipes(docs, id_col, text_col, address=True)).filter(~F.col("kept")).select("file", "at")
+    return without(docs, stored(gone, "gone"))

@@ -20,11 +20,13 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import fresh, n_words, stored, text_of
+from .common import addressed, fresh, n_words, stored, text_of
 
 #: Rows of a source that one bucket holds, about.
 BUCKET_ROWS = 10_000
 SYMBOLS = r"[#*$%&|<>]"
+#: Sources whose limits are broadcast (some 100 bytes each); with more, they are joined by shuffle.
+BROADCAST_SOURCES = 20_000
 
 
 def quality_weight(text: Column) -> Column:
@@ -58,15 +60,27 @@ def targets(sizes: DataFrame, weights: tuple = (1, 2, 3), epochs: float = 3) ->
     return each.withColumn("target", F.least("cap", first * F.col("w"))).select("no_source", "source", "source_size", "target")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight: Column | None = None, seed: str = "mix", weights: tuple = (1, 2, 3), epochs: float = 3, digest: Column | None = None) -> DataFrame:
-    """One row per document: id, row, size, source_size, target, times (copies the mix takes), taken (words), and digest if one is given."""
-    carried = [] if digest is None else [digest.alias("digest")]
+def drawn(docs: DataFrame, id_col: str, text_col: str, source_col: str, weight: Column | None, seed: str) -> list[Column]:
+    """What the mix has to know of a row: id, no_source, source, size, key."""
     weight = quality_weight(F.col(text_col)) if weight is None else weight
-    sized = docs.select(
-        F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.col(source_col).isNull().alias("no_source"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"),
-        n_words(F.col(text_col)).alias("size"), key_of(F.col(id_col), weight, seed).alias("key"), *carried,
-    )
-    sized = stored(sized, "sizes")  # the texts are read once
+    return [
+        F.col(id_col).alias("id"), F.col(source_col).isNull().alias("no_source"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"),
+        n_words(F.col(text_col)).alias("size"), key_of(F.col(id_col), weight, seed).alias("key"),
+    ]
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight: Column | None = None, seed: str = "mix", weights: tuple = (1, 2, 3), epochs: float = 3) -> DataFrame:
+    """One row per document: id, row, size, source_size, target, times (copies the mix takes), taken (words)."""
+    sized = docs.select(*drawn(docs, id_col, text_col, source_col, weight, seed), F.monotonically_increasing_id().alias("row"))
+    out = allotted(stored(sized, "sizes"), ["row"], weights, epochs)  # the texts are read once
+    return out.select("id", "row", "size", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken"))
+
+
+def allotted(sized: DataFrame, last: list[str], weights: tuple, epochs: float) -> DataFrame:
+    """The stored rows with source_size, target, full (epochs) and times.  Rows of one key go by id, size and the columns ``last``.
+
+    What a source takes beyond full epochs is the beginning of its order: a row whose midpoint lies beyond the budget
+    ends at or beyond it, and so does whatever comes later."""
     n = max(256, math.ceil(sized.count() / BUCKET_ROWS))
     place = sized.withColumn("bucket", F.floor(F.col("key") / (F.col("key") + 1) * n).cast("int"))
     plan = stored(targets(sized, weights, epochs), "targets")
@@ -77,25 +91,26 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         .withColumn("full", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
         .select("no_source", "source", "bucket", "source_size", "target", "full", (F.col("target") - F.col("full") * F.col("source_size") - F.coalesce(F.sum("bucket_size").over(upto), F.lit(0))).alias("left"))
     )
-    inside = Window.partitionBy("no_source", "source", "bucket").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    taken = F.coalesce(F.sum("size").over(inside), F.lit(0)) + F.col("size") / 2 <= F.col("left")
-    out = place.join(budget, ["no_source", "source", "bucket"]).withColumn("times", F.when(F.col("size") > 0, F.col("full") + F.when(taken, 1).otherwise(0)).otherwise(0).cast("long"))
-    return out.select("id", "row", "size", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken"), *(["digest"] if carried else []))
-
-
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it.  Rows are matched by id and digest of source and text; rows that agree
-    in these share what the mix takes of them, so that they differ by one copy at most, as in the mix."""
-    own, digest, copy, number = (fresh(docs, x) for x in ("mixed_id", "mixed_digest", "mixed_copy", "mixed_number"))
-    times, more = (fresh(docs, x) for x in ("mixed_times", "mixed_more"))
-    source = F.col(source_col).cast("string")
-    of = F.unhex(F.sha2(F.concat(F.when(source.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.length(source).cast("string"), F.lit(":"), source)), text_of(text_col)), 256))
-    taken = mix(docs, id_col, text_col, source_col, digest=of, **how).groupBy(F.col("id").alias(own), F.col("digest").alias("__digest")).agg(F.min("times").alias(times), F.sum(F.col("times")).alias("all"), F.count(F.lit(1)).alias("n"))
-    taken = stored(taken.filter("all > 0").select(own, "__digest", times, (F.col("all") - F.col("n") * F.col(times)).alias(more)), "times")
-    docs = docs.withColumn(digest, of)
-    both = docs.join(taken, docs[id_col].eqNullSafe(taken[own]) & (docs[digest] == taken["__digest"])).drop("__digest")
-    even = both.filter(F.col(more) == 0)
-    if not taken.filter(F.col(more) > 0).isEmpty():
-        uneven = both.filter(F.col(more) > 0).withColumn(number, F.row_number().over(Window.partitionBy(own, digest).orderBy(digest)))
-        even = even.unionByName(uneven.withColumn(times, F.col(times) + F.when(F.col(number) <= F.col(more), 1).otherwise(0)).drop(number))
-    return even.filter(F.col(times) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).drop(own, digest, times, more, copy)
+    inside = Window.partitionBy("no_source", "source", "bucket").orderBy("key", "id", "size", *last).rowsBetween(Window.unboundedPreceding, -1)
+    out = place.join(budget, ["no_source", "source", "bucket"])
+    out = out.withColumn("more", F.coalesce(F.sum("size").over(inside), F.lit(0)) + F.col("size") / 2 <= F.col("left"))
+    return out.withColumn("times", F.when(F.col("size") > 0, F.col("full") + F.when(F.col("more"), 1).otherwise(0)).otherwise(0).cast("long"))
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight: Column | None = None, seed: str = "mix", weights: tuple = (1, 2, 3), epochs: float = 3) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it.  What decides is how far a source's order is taken, one row per source, so
+    texts stay where they are; rows that agree in key, id and size go by their address."""
+    docs, slim = addressed(docs, *drawn(docs, id_col, text_col, source_col, weight, seed))
+    order = ["key", "id", "size", "file", "at"]
+    each = allotted(stored(slim, "sizes"), order[-2:], weights, epochs).filter("size > 0")
+    upto = each.groupBy("no_source", "source").agg(F.max("full").alias("full"), F.max(F.when(F.col("more"), F.struct(*order))).alias("upto")).filter("full > 0 OR upto IS NOT NULL")
+    own, copy, of, full, to = (fresh(docs, f"mixed_{x}") for x in ("own", "copy", "of", "full", "upto"))
+    upto = stored(upto.select(F.struct("no_source", "source").alias(of), F.col("full").alias(full), F.col("upto").alias(to)), "limits")
+    place = docs.metadataColumn("_metadata")
+    row = F.struct(*drawn(docs, id_col, text_col, source_col, weight, seed), F.xxhash64(place["file_path"]).alias("file"), place["row_index"].alias("at"))
+    rows = docs.select("*", row.alias(own))
+    few = F.broadcast(upto) if upto.count() <= BROADCAST_SOURCES else upto
+    rows = rows.join(few, F.struct(F.col(own)["no_source"], F.col(own)["source"]) == F.col(of))
+    more = F.col(to).isNotNull() & (F.struct(*[F.col(own)[c].alias(c) for c in order]) <= F.col(to))
+    times = F.when(F.col(own)["size"] > 0, F.col(full) + F.coalesce(more, F.lit(False)).cast("int")).otherwise(0).cast("int")
+    return rows.filter(times > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), times))).select(*[F.col(f"`{c}`") for c in docs.columns])

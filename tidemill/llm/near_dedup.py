@@ -17,8 +17,8 @@ connected need no look:
    cluster all such pairs are compared on full sets.  Both are done in blocks of bounded size: rows are nodes, never pairs, and what comes out are
    edges and links that connect, fewer than nodes.
 
-A pair is left out without a look at its sets only if the sizes rule it out, or if fewer than ``LEAST_BITS`` of its 220
-signature bits agree, seven standard deviations below what similarity 0.8 gives.
+A pair is left out without a look at its sets only if the sizes rule it out, or if fewer than ``LEAST_AGREEING`` of its 220
+signature values agree in ``BITS`` bits of each, seven standard deviations below what similarity 0.8 gives.
 
 Components come from propagating smallest labels with pointer jumping over stored tables.  Nothing is collected to the
 driver but counts.
@@ -35,43 +35,40 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import fresh, stored, text_of
+from .common import Remembered, addressed, stored, without
 
 SHINGLE, SIMILARITY = 5, 80
 BANDS, ROWS = 44, 5
 PERMUTATIONS = BANDS * ROWS // 2
-LEAST_BITS = 167
+LEAST_AGREEING = 138
+#: Bits of each signature value that are kept, and the longs that hold them.
+BITS = 4
+LONGS = -(-2 * PERMUTATIONS * BITS // 64)
+PADDING = 64 * LONGS // BITS - 2 * PERMUTATIONS
+BIT_COLUMNS = [f"b{k}" for k in range(LONGS)]
+_LOWEST = 0x1111111111111111
 #: Bytes of a shingle's hash that are kept for confirming.
 WIDTH = 5
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def shape(similarity: int) -> tuple[int, int, int]:
-    """Bands, rows and least bits: those above from 80 on; for less, so few rows that a pair shares no band with probability 3e-8 at most,
-    and least bits seven standard deviations below what the similarity gives."""
+    """Bands, rows and least values that agree: those above from 80 on; for less, so few rows that a pair shares no band with probability
+    3e-8 at most, and seven standard deviations below what the similarity gives."""
     if similarity >= SIMILARITY:
-        return BANDS, ROWS, LEAST_BITS
+        return BANDS, ROWS, LEAST_AGREEING
     s, n = similarity / 100, 2 * PERMUTATIONS
+    p = s + (1 - s) / (1 << BITS)
     for rows in range(ROWS, 0, -1):
         if (1 - s**rows) ** (n // rows) <= 3e-8:
-            return n // rows, rows, int(n * (1 + s) / 2 - 7 * (n * (1 - s * s) / 4) ** 0.5)
+            return n // rows, rows, int(n * p - 7 * (n * p * (1 - p)) ** 0.5)
     raise ValueError(f"similarity {similarity} is too low for {n} signature values")
 
 
-class Hashes(dict):
-    """Word to 64-bit hash, remembered; emptied when it grows too large."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-
-def shingles(text: str, n: int, hashes: Hashes) -> np.ndarray:
+def shingles(text: str, n: int, hashes: Remembered) -> np.ndarray:
     """Sorted distinct hashes of the text's word shingles."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
     h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
@@ -95,7 +92,7 @@ class Signer:
         self.mix = draw.integers(0, 1 << 63, (self.bands, self.rows), np.uint64) * np.uint64(2) + np.uint64(1)
 
     def __call__(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Bucket keys, and the signature's bits in four numbers."""
+        """Bucket keys, and the signature's bits, ``BITS`` of each value, in ``LONGS`` numbers."""
         x = (s >> np.uint64(32)).astype(np.uint32)
         least, most = np.full(PERMUTATIONS, 0xFFFFFFFF, np.uint32), np.zeros(PERMUTATIONS, np.uint32)
         with np.errstate(over="ignore"):
@@ -105,9 +102,9 @@ class Signer:
             signature = np.concatenate([least, most])
             v = (signature[: self.bands * self.rows].reshape(self.bands, self.rows).astype(np.uint64) * self.mix).sum(1, dtype=np.uint64)
             keys = ((v ^ (v >> np.uint64(31))) + np.arange(self.bands, dtype=np.uint64)) * _M1
-            bits = ((signature ^ (signature >> np.uint32(15))) * np.uint32(0x9E3779B1)) >> np.uint32(31)
-        bits = np.packbits(np.append(bits.astype(np.uint8), np.zeros(256 - 2 * PERMUTATIONS, np.uint8)))
-        return keys.view(np.int64), bits.view(np.int64)
+            bits = ((signature ^ (signature >> np.uint32(15))) * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)
+        bits = np.append(bits, np.zeros(PADDING, np.uint32)).astype(np.uint64).reshape(LONGS, -1)
+        return keys.view(np.int64), (bits << np.arange(0, 64, BITS, dtype=np.uint64)).sum(1, dtype=np.uint64).view(np.int64)
 
 
 def packed(s: np.ndarray) -> bytes:
@@ -120,37 +117,53 @@ def unpacked(data: bytes) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
-def signatures(docs: DataFrame, n: int, id_col: str, text_col: str, salt: int, digest: Column, similarity: int) -> DataFrame:
-    """Stored, one row per document: row, id, digest (as given), n, node, check, keys, bits, members (the packed set)."""
+def signatures(docs: DataFrame, n: int, id_col: str, text_col: str, salt: int, similarity: int, address: bool) -> DataFrame:
+    """Stored, one row per document: row, id, n, node, check, keys, the signature's bits, members (the packed set), and file and at if they are asked for."""
     kind = docs.schema[id_col].dataType
-    schema = f"id {kind.simpleString()}, digest binary, n long, node long, check long, keys array<long>, b0 long, b1 long, b2 long, b3 long, members binary"
+    place = [("file", pa.int64()), ("at", pa.int64())] if address else []
+    schema = f"id {kind.simpleString()}, {''.join(f'{c} long, ' for c, _ in place)}n long, node long, check long, keys array<long>, {' long, '.join(BIT_COLUMNS)} long, members binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, sign = Hashes(), Signer(similarity=similarity)
+        hashes, sign = Remembered(xxhash.xxh64_intdigest), Signer(similarity=similarity)
         for b in batches:
             for part in (b.slice(i, 200) for i in range(0, b.num_rows, 200)):
                 rows: list[tuple] = []
                 for text in part.column(1).to_pylist():
                     s = shingles(text or "", n, hashes)
                     if not len(s):
-                        rows.append((0, None, None, None, None, None, None, None, None))
+                        rows.append((0, *[None] * (3 + LONGS + 1)))
                         continue
                     keys, bits = sign(s)
                     data = s.tobytes()
                     node, check = (np.array([xxhash.xxh3_64_intdigest(data, seed=2 * salt + k) for k in (0, 1)], np.uint64).view(np.int64)).tolist()
                     rows.append((len(s), node, check, keys, *bits.tolist(), packed(s)))
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(to_arrow_type(kind)), part.column(2).cast(pa.binary()), *columns], names)
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(to_arrow_type(kind)), *(part.column(2 + k) for k in range(len(place))), *columns], names)
 
-    types = [pa.int64()] * 3 + [pa.list_(pa.int64())] + [pa.int64()] * 4 + [pa.binary()]
-    names = ["id", "digest", "n", "node", "check", "keys", "b0", "b1", "b2", "b3", "members"]
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), digest.alias("digest")).mapInArrow(run, schema)
+    types = [pa.int64()] * 3 + [pa.list_(pa.int64())] + [pa.int64()] * LONGS + [pa.binary()]
+    names = ["id", *(c for c, _ in place), "n", "node", "check", "keys", *BIT_COLUMNS, "members"]
+    own = [F.col(id_col).alias("id"), F.col(text_col).alias("text")]
+    out = (addressed(docs, *own)[1] if address else docs.select(*own)).mapInArrow(run, schema)
     return stored(out.withColumn("row", F.monotonically_increasing_id()), "signatures")
 
 
 def agreeing(x: str, y: str) -> F.Column:
-    """Signature bits that two rows share."""
-    return F.lit(256) - sum((F.bit_count(F.col(f"{x}.b{k}").bitwiseXOR(F.col(f"{y}.b{k}"))) for k in range(4)), F.lit(0)) - (256 - 2 * PERMUTATIONS)
+    """Signature values that agree in two rows, in the bits that are kept."""
+
+    def unlike(k: str) -> Column:
+        d = F.col(f"{x}.{k}").bitwiseXOR(F.col(f"{y}.{k}"))
+        d = d.bitwiseOR(F.shiftrightunsigned(d, 1))
+        return F.bit_count(d.bitwiseOR(F.shiftrightunsigned(d, 2)).bitwiseAND(F.lit(_LOWEST)))
+
+    return F.lit(2 * PERMUTATIONS) - sum((unlike(k) for k in BIT_COLUMNS), F.lit(0))
+
+
+def unlike_values(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Signature values that differ: of rows of (n, LONGS) and one of (LONGS)."""
+    d = x ^ y
+    d |= d >> np.uint64(1)
+    d |= d >> np.uint64(2)
+    return np.bitwise_count(d & np.uint64(_LOWEST)).sum(-1, dtype=np.int64)
 
 
 def alike(x: str, y: str, similarity: int) -> F.Column:
@@ -227,23 +240,23 @@ def blocks(rows: DataFrame, group: str, size: int) -> DataFrame:
 
 def possible(g: dict, similarity: int) -> Iterator[tuple[int, np.ndarray]]:
     """For each row of a group, the later rows with another label that it may be similar enough to; of two blocks, those of the other."""
-    bits = np.stack([g[f"b{k}"] for k in range(4)], 1).view(np.uint64)
+    bits = np.stack([g[k] for k in BIT_COLUMNS], 1).view(np.uint64)
     least = shape(similarity)[2]
     n, label, own, two = g["n"], g["label"], g["own"], g["i"][0] != g["j"][0]
     for x in range(len(n) - 1):
         y = np.flatnonzero((label[x + 1 :] != label[x]) & (100 * np.minimum(n[x + 1 :], n[x]) >= similarity * np.maximum(n[x + 1 :], n[x])) & ((own[x + 1 :] != own[x]) | (not two))) + x + 1
         if len(y):
-            y = y[2 * PERMUTATIONS - np.bitwise_count(bits[y] ^ bits[x]).sum(1, dtype=np.int64) >= least]
+            y = y[2 * PERMUTATIONS - unlike_values(bits[y], bits[x]) >= least]
             if len(y):
                 yield x, y
 
 
 class Joined(dict):
-    """Labels that links have joined."""
+    """Labels that links have joined, each to a smaller one."""
 
     def root(self, x: int) -> int:
         while (up := self.get(x, x)) != x:
-            x = self[x] = self.get(up, up)
+            self[x] = x = self.get(up, up)  # to the one above, before x itself changes
         return x
 
     def join(self, x: int, y: int) -> bool:
@@ -257,19 +270,19 @@ def pairs_of(a: list[int], b: list[int]) -> pa.RecordBatch:
 
 
 def neighbours(rows: DataFrame, similarity: int) -> DataFrame:
-    """Stored edges (a, b), fewer than rows, that connect whatever nodes of one bucket (key) may be linked across components."""
+    """Stored edges (a, b), fewer than rows that come in, that connect whatever nodes of one bucket (key) may be linked across components:
+    of what a task connects, each node is tied to the smallest one, so that buckets with the same nodes give the same edges."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in grouped(batches, 3):
-            node, joined, a, b = g["node"].tolist(), Joined(), [], []
+            node, joined = g["node"].tolist(), Joined()
             for x, ys in possible(g, similarity):
                 for y in ys.tolist():
-                    if joined.join(node[x], node[y]):
-                        a.append(node[x])
-                        b.append(node[y])
-            yield pairs_of(a, b)
+                    joined.join(node[x], node[y])
+            b = [x for x in set(node) if joined.root(x) != x]
+            yield pairs_of([joined.root(x) for x in b], b)
 
-    return stored(blocks(rows, "key", 2048).mapInArrow(run, "a long, b long"), "neighbours")
+    return stored(blocks(rows, "key", 2048).mapInArrow(run, "a long, b long").distinct(), "neighbours")
 
 
 def compared(rest: DataFrame, bits: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
@@ -293,19 +306,20 @@ def compared(rest: DataFrame, bits: DataFrame, sets: DataFrame, similarity: int)
                             b.append(node[part[k]])
             yield pairs_of(a, b)
 
-    rows = rest.join(bits, "node").join(sets, "node").select("cluster", "node", "label", "n", "b0", "b1", "b2", "b3", "members")
+    rows = rest.join(bits, "node").join(sets, "node").select("cluster", "node", "label", "n", *BIT_COLUMNS, "members")
     return stored(blocks(rows, "cluster", 256).mapInArrow(run, "a long, b long"), "links")
 
 
 def linked(docs: DataFrame, n: int = SHINGLE, similarity: int = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, row, n_shingles, component_id (the smallest id of its component), kept."""
-    return grouped_rows(docs, n, similarity, id_col, text_col, F.lit(None).cast("binary")).drop("digest", "group")
+    return grouped_rows(docs, n, similarity, id_col, text_col).drop("group")
 
 
-def grouped_rows(docs: DataFrame, n: int, similarity: int, id_col: str, text_col: str, digest: Column) -> DataFrame:
-    """``linked`` with digest (as given) and group: a number of the component, null for what has an empty set or no copy and no link."""
+def grouped_rows(docs: DataFrame, n: int, similarity: int, id_col: str, text_col: str, address: bool = False) -> DataFrame:
+    """``linked`` with group: a number of the component, null for what has an empty set or no copy and no link; and the row's address if it is asked for."""
+    place = ["file", "at"] if address else []
     for salt in range(8):
-        docs_sigs = signatures(docs, n, id_col, text_col, salt, digest, similarity)
+        docs_sigs = signatures(docs, n, id_col, text_col, salt, similarity, address)
         sigs = docs_sigs.filter("node IS NOT NULL")
         ids = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"))
         node = sigs.groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min(ids).alias("least"), F.min("row").alias("first"), F.min("check").alias("c"), F.max("check").alias("d"))
@@ -313,9 +327,9 @@ def grouped_rows(docs: DataFrame, n: int, similarity: int, id_col: str, text_col
         if many.filter("c <> d").isEmpty():
             break
     # one row stands for each node
-    first = many.select(F.col("node").alias("at"), F.col("first"))
-    one = sigs.join(first, sigs["node"] == first["at"], "left").filter("first IS NULL OR first = row")
-    reps = stored(one.select("node", "n", "b0", "b1", "b2", "b3", "keys"), "nodes")
+    first = many.select(F.col("node").alias("of_node"), F.col("first"))
+    one = sigs.join(first, sigs["node"] == first["of_node"], "left").filter("first IS NULL OR first = row")
+    reps = stored(one.select("node", "n", *BIT_COLUMNS, "keys"), "nodes")
     bits = reps.drop("keys")
 
     rows = reps.select("node", F.explode("keys").alias("key"))
@@ -371,31 +385,18 @@ def grouped_rows(docs: DataFrame, n: int, similarity: int, id_col: str, text_col
     least = node.select("node", "least", "copies").join(of, F.col("node") == F.col("at"), "left").filter("copies > 1 OR label IS NOT NULL").withColumn("label", F.coalesce("label", "node"))
     least = stored(least.select("node", "label", "least"), "least")
     top = stored(least.groupBy("label").agg(F.min("least").alias("top")), "top")
-    place = stored(least.select("node", "label").join(top, "label").select(F.col("node").alias("at"), F.col("label").alias("group"), F.col("top.id").alias("component_id"), F.lit(True).alias("found")), "components")
-    out = docs_sigs.select("row", "id", "digest", "n", "node").join(place, F.col("node") == F.col("at"), "left")
+    found = stored(least.select("node", "label").join(top, "label").select(F.col("node").alias("of_node"), F.col("label").alias("group"), F.col("top.id").alias("component_id"), F.lit(True).alias("found")), "components")
+    out = docs_sigs.select("row", "id", *place, "n", "node").join(found, F.col("node") == F.col("of_node"), "left")
     component = F.when(F.col("found"), F.col("component_id")).otherwise(F.col("id"))
-    return out.select("id", "row", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"), "digest", "group")
+    return out.select("id", "row", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"), "group", *place)
 
 
 def deduplicate(docs: DataFrame, n: int = SHINGLE, similarity: int = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, one row of each component: that of the smallest id, null last.  Rows are matched by id and digest of
-    the text, so ids that repeat, or are null, are safe; of rows that agree in both, which are of one component, one stays at most."""
-    own, number = fresh(docs, "near_digest"), fresh(docs, "near_number")
-    digest = F.unhex(F.sha2(text_of(text_col), 256))
-    rows = grouped_rows(docs, n, similarity, id_col, text_col, digest).filter("group IS NOT NULL").select("id", "digest", "group", F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("row").alias("row")).alias("rank"))
-    same = stored(rows.groupBy("id", "digest", "group").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("rank")), "same")
-    first = stored(same.groupBy("group").agg(F.min("rank").alias("first")), "first")
-    same = same.join(first, "group").select(F.col("id").alias("__id"), F.col("digest").alias("__digest"), "n", (F.col("rank") == F.col("first")).alias("stays"))
-    gone = stored(same.filter("NOT stays OR n > 1"), "gone")
-    once = gone.filter("stays")
-    docs = docs.withColumn(own, digest)
-
-    def match(of: DataFrame) -> Column:
-        return docs[id_col].eqNullSafe(of["__id"]) & (docs[own] == of["__digest"])
-
-    out = docs.join(gone, match(gone), "left_anti").drop(own)
-    if once.isEmpty():
-        return out
-    any_ = Window.partitionBy(id_col, own).orderBy(own)
-    one = docs.join(once, match(once), "left_semi").withColumn(number, F.row_number().over(any_)).filter(F.col(number) == 1)
-    return out.unionByName(one.drop(own, number))
+    """The rows of ``docs``, all columns, one row of each component: that of the smallest id, null last, of these the first row.  Rows are told apart
+    by their address, so ids that repeat or are null are safe.  Texts stay where they are while few rows go (``common.BROADCAST_ROWS``)."""
+    docs, _ = addressed(docs)
+    rank = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("row").alias("row"))
+    rows = stored(grouped_rows(docs, n, similarity, id_col, text_col, address=True).filter("group IS NOT NULL").select("group", rank.alias("rank"), "file", "at"), "grouped")
+    first = stored(rows.groupBy("group").agg(F.min("rank").alias("first")), "first")
+    gone = rows.join(first, "group").filter("rank <> first").select("file", "at")
+    return without(docs, stored(gone, "gone"))

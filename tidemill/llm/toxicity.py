@@ -1,6 +1,6 @@
 """Toxicity by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Words are lower-cased (A-Z), without the marks around them.  Features are the distinct unigrams, bigrams and
+Words are lower-cased (A-Z), without the marks around and within them.  Features are the distinct unigrams, bigrams and
 skip-grams (one word left out), and, as insults are inflected, the first 3 to 7 bytes of longer words as stems,
 all hashed to 28 bits.  FTRL keeps an accumulator per coordinate, which sets that
 coordinate's own learning rate, and L1 leaves most weights at exactly zero: what is broadcast are the others,
@@ -9,8 +9,8 @@ as sorted indices and values, a few kilobytes, bounded by the features of the bo
 Scoring is one pass over the texts without a shuffle.
 
 Defined results: a null text counts as empty; an empty text has the score of the bias; a null id belongs to the
-rows that are not held out; rows may repeat; without labelled rows of both kinds all scores are the bias's; an
-empty table gives an empty result.
+rows that are not held out; rows may repeat; labels that contradict one another count as toxic; without labelled rows of both kinds
+all scores are the bias's; an empty table gives an empty result; other columns, whatever their names, are left alone.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from .common import Remembered
 from .training import MAX_LABELLED, labelled_sample, remainder
 
 BITS, MARKS = 28, b".,;:!?\"'()[]{}<>*#$%&|_~`"
@@ -31,27 +32,12 @@ ALPHA, BETA, L1, L2, EPOCHS, MIN_DOCS = 2.0, 1.0, 4.0, 0.01, 6, 3
 THRESHOLD = 0.7
 
 
-class Hashes(dict):
-    """Word to 64-bit hash, remembered; emptied when it grows too large."""
+def hashing() -> tuple[Remembered, Remembered]:
+    """Word to its 64-bit hash, and to the hashes of its beginnings; both remembered within bounds."""
+    return Remembered(xxhash.xxh64_intdigest), Remembered(lambda word: tuple(xxhash.xxh64_intdigest(word[:n], seed=n) for n in STEMS if len(word) > n))
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
 
-
-class Stems(dict):
-    """Word to the hashes of its beginnings."""
-
-    def __missing__(self, word: bytes) -> tuple[int, ...]:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = h = tuple(xxhash.xxh64_intdigest(word[:n], seed=n) for n in STEMS if len(word) > n)
-        return h
-
-
-def features(text: str, hashes: Hashes, stems: Stems) -> np.ndarray:
+def features(text: str, hashes: Remembered, stems: Remembered) -> np.ndarray:
     words = text.encode("utf-8", "surrogatepass").lower().translate(None, MARKS).split()
     h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
     with np.errstate(over="ignore"):
@@ -113,7 +99,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", held_out: tu
     sample = labelled_sample(docs, labels, label, remainder(id_col, held_out[0]) != held_out[1], limit, id_col, text_col)
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, stems = Hashes(), Stems()
+        hashes, stems = hashing()
         for b in batches:
             x = [features(t, hashes, stems).tobytes() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("id").cast(pa.string()), b.column("label"), pa.array(x, pa.binary())], ["id", "label", "x"])
@@ -134,7 +120,7 @@ def score(docs: DataFrame, model: tuple, id_col: str = "doc_id", text_col: str =
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, hashes, stems = Model(*shared.value), Hashes(), Stems()
+        m, (hashes, stems) = Model(*shared.value), hashing()
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m.score(features(t or "", hashes, stems)) for t in b.column(1).to_pylist()], pa.float64())], ["id", "score"])
 
@@ -147,7 +133,7 @@ def clean(docs: DataFrame, model: tuple, text_col: str = "text", threshold: floa
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, hashes, stems = Model(*shared.value), Hashes(), Stems()
+        m, (hashes, stems) = Model(*shared.value), hashing()
         for b in batches:
             yield b.filter(pa.array([m.score(features(t or "", hashes, stems)) < threshold for t in b.column(place).to_pylist()], pa.bool_()))
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import addressed, stored
+
 #: Labelled rows that a classifier is fitted on, at most: those with the smallest digests of their id.
 MAX_LABELLED = 12_000
 
@@ -15,9 +17,14 @@ def remainder(id_col: str | Column, of: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, trainable: Column, limit: int = MAX_LABELLED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, text, label of at most ``limit`` rows.  ``trainable`` is over the labels' id.  The ids alone are broadcast, and
-    their number is bounded by ``limit``; texts are picked where they are read."""
+    """id, text, label of at most ``limit`` rows, also where rows share an id.  ``trainable`` is over the labels' id; of labels of one id that
+    differ, the larger counts.  What is broadcast are ids and then addresses, at most ``limit`` of them; texts are picked where they are read."""
     ids = labels.filter(trainable & F.col(label).isNotNull()).groupBy(id_col).agg(F.max(label).cast("int").alias("label"))
-    ids = ids.orderBy(F.md5(F.col(id_col).cast("string").cast("binary")), id_col).limit(limit)
-    few = F.broadcast(ids.select(F.col(id_col).alias("id"), "label"))
-    return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(few, "id")
+    drawn = F.md5(F.col(id_col).cast("string").cast("binary")).alias("drawn")
+    ids = ids.select(F.col(id_col).alias("id"), "label", drawn).orderBy("drawn", "id").limit(limit)
+    docs, slim = addressed(docs, F.col(id_col).alias("id"))
+    rows = slim.join(F.broadcast(ids), "id").orderBy("drawn", "id", "file", "at").limit(limit)
+    few = F.broadcast(stored(rows.select("id", "label", "file", "at"), "sample"))
+    place = docs.metadataColumn("_metadata")
+    picked = docs.join(few, (F.xxhash64(place["file_path"]) == few["file"]) & (place["row_index"] == few["at"]))
+    return picked.select(few["id"].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"), few["label"].alias("label"))
