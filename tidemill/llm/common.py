@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 from urllib.parse import urlparse
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -17,9 +21,17 @@ SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
 
 
+#: Bytes of an Arrow batch that goes to a Python worker, unless the session says otherwise: batches are held several times at once, in the
+#: executor and in its workers, and by default have 64 MB.
+BATCH_BYTES = 4 << 20
+_BATCH, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once in a session's life, so that workers need no installed copy."""
+    """Sends this package to the executors, once in a session's life, so that workers need no installed copy, and bounds the session's Arrow batches."""
     sc = spark.sparkContext
+    if spark.conf.get(_BATCH, None) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
     if getattr(sc, "_tidemill_shipped", False):
         return
     package = Path(__file__).resolve().parents[1]
@@ -55,12 +67,16 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/tidemill-{label}-{uuid.uuid4().hex[:12]}"
 
 
+#: Of tables that are written only to be read again: a task holds a block, and its executor one for each core.
+BLOCK_BYTES = 16 << 20
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` as Parquet to the shared folder and reads it back: it cuts lineage, is computed once,
     survives lost executors, and gives rows the same order and partition each time they are read."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", BLOCK_BYTES).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -140,6 +156,19 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     return docs.join(gone, (F.xxhash64(place["file_path"]) == gone["file"]) & (place["row_index"] == gone["at"]), "left_anti")
 
 
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run``, which gives back its memory when a task is done: Python workers live on from task to task and from one operator to the next."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        gc.collect(0)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return wrapped
+
+
 class Remembered(dict):
     """Word to what ``make`` makes of it, remembered; emptied when it takes more than ``limit`` bytes, however long the words are."""
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import new_path, publish, stored
+from .common import lean, new_path, publish, stored
 from .elias_fano import U64, EliasFano, from_file, to_bytes
 
 ORDER, MIN_COUNT, DISCOUNT = 3, 2, 0.75
@@ -69,7 +69,7 @@ def vocabulary(docs: DataFrame, text_col: str) -> DataFrame:
         if counts:
             yield out()
 
-    each = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    each = docs.select(F.col(text_col).alias("text")).mapInArrow(lean(run), "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
     return stored(each.select(F.xxhash64("word").alias("h"), "c"), "vocabulary")
 
 
@@ -298,7 +298,7 @@ def shards(rows: DataFrame, key: str, build, label: str) -> list[tuple[int, int,
             publish(path, to_bytes(parts))
             yield pa.RecordBatch.from_arrays([pa.array([first]), pa.array([entries]), pa.array([path])], ["first", "entries", "path"])
 
-    made = rows.repartitionByRange(n, key).sortWithinPartitions(*rows.columns[:2]).mapInArrow(run, "first long, entries long, path string")
+    made = rows.repartitionByRange(n, key).sortWithinPartitions(*rows.columns[:2]).mapInArrow(lean(run), "first long, entries long, path string")
     return sorted((r["first"], r["entries"], r["path"]) for r in made.collect())
 
 
@@ -336,7 +336,7 @@ def train(docs: DataFrame, trainable: Column, order: int = ORDER, min_count: int
                 new = np.flatnonzero(np.append(True, (p[1:] != p[:-1]) | (w[1:] != w[:-1]))) if len(p) else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(p[new]), pa.array(w[new]), pa.array(np.diff(np.append(new, len(p))))], ["p", "w", "c"])
 
-        grams = texts.mapInArrow(count, "p long, w long, c long").groupBy("p", "w").agg(F.sum("c").alias("c")).filter(F.col("c") >= min_count)
+        grams = texts.mapInArrow(lean(count), "p long, w long, c long").groupBy("p", "w").agg(F.sum("c").alias("c")).filter(F.col("c") >= min_count)
         grams = stored(grams, f"grams{k}")
         swept(spark)
 
@@ -383,4 +383,4 @@ def score(docs: DataFrame, model: tuple, id_col: str = "doc_id", text_col: str =
             out = m.score([t or "" for t in b.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x) for x in out)], ["id", "n_tokens", "n_known", "base_score", "score"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_tokens long, n_known long, base_score double, score double")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(lean(run), f"id {kind}, n_tokens long, n_known long, base_score double, score double")

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import Remembered, addressed, stored, without
+from .common import addressed, lean, Remembered, stored, without
 
 SHINGLE, SIMILARITY = 5, 80
 BANDS, ROWS = 44, 5
@@ -143,7 +143,7 @@ def signatures(docs: DataFrame, n: int, id_col: str, text_col: str, salt: int, s
     types = [pa.int64()] * 3 + [pa.list_(pa.int64())] + [pa.int64()] * LONGS + [pa.binary()]
     names = ["id", *(c for c, _ in place), "n", "node", "check", "keys", *BIT_COLUMNS, "members"]
     own = [F.col(id_col).alias("id"), F.col(text_col).alias("text")]
-    out = (addressed(docs, *own)[1] if address else docs.select(*own)).mapInArrow(run, schema)
+    out = (addressed(docs, *own)[1] if address else docs.select(*own)).mapInArrow(lean(run), schema)
     return stored(out.withColumn("row", F.monotonically_increasing_id()), "signatures")
 
 
@@ -186,7 +186,7 @@ def confirmed(edges: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
                     keep.append(100 * common >= similarity * (len(x) + len(y) - common))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return stored(both.mapInArrow(run, "a long, b long"), "links")
+    return stored(both.mapInArrow(lean(run), "a long, b long"), "links")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -282,7 +282,7 @@ def neighbours(rows: DataFrame, similarity: int) -> DataFrame:
             b = [x for x in set(node) if joined.root(x) != x]
             yield pairs_of([joined.root(x) for x in b], b)
 
-    return stored(blocks(rows, "key", 2048).mapInArrow(run, "a long, b long").distinct(), "neighbours")
+    return stored(blocks(rows, "key", 2048).mapInArrow(lean(run), "a long, b long").distinct(), "neighbours")
 
 
 def compared(rest: DataFrame, bits: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
@@ -307,7 +307,7 @@ def compared(rest: DataFrame, bits: DataFrame, sets: DataFrame, similarity: int)
             yield pairs_of(a, b)
 
     rows = rest.join(bits, "node").join(sets, "node").select("cluster", "node", "label", "n", *BIT_COLUMNS, "members")
-    return stored(blocks(rows, "cluster", 256).mapInArrow(run, "a long, b long"), "links")
+    return stored(blocks(rows, "cluster", 256).mapInArrow(lean(run), "a long, b long"), "links")
 
 
 def linked(docs: DataFrame, n: int = SHINGLE, similarity: int = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

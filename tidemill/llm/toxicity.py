@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Remembered
+from .common import lean, Remembered
 from .training import MAX_LABELLED, labelled_sample, remainder
 
 BITS, MARKS = 28, b".,;:!?\"'()[]{}<>*#$%&|_~`"
@@ -52,13 +52,16 @@ def fit(rows: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray, flo
     """Indices, weights and bias from (features, label) in the given order."""
     if len({y for _, y in rows}) < 2:
         return np.zeros(0, np.uint32), np.zeros(0, np.float32), (-3.0 if not rows or rows[0][1] == 0 else 3.0)
-    vocabulary, df = np.unique(np.concatenate([x for x, _ in rows]), return_counts=True)
-    vocabulary = vocabulary[df >= MIN_DOCS]
+    parts = []  # by high bits, so that only a sixteenth is sorted at a time
+    for k in range(16):
+        v, df = np.unique(np.concatenate([x[slice(*np.searchsorted(x, (k << BITS - 4, (k + 1) << BITS - 4)))] for x, _ in rows]), return_counts=True)
+        parts.append(v[df >= MIN_DOCS])
+    vocabulary = np.concatenate(parts)
     places = []
     for x, y in rows:
         at = np.searchsorted(vocabulary, x)
         at = at[(at < len(vocabulary)) & (vocabulary[np.minimum(at, len(vocabulary) - 1)] == x)] if len(vocabulary) else at[:0]
-        places.append((np.append(at, len(vocabulary)), y))  # the last coordinate is the bias
+        places.append((np.append(at, len(vocabulary)).astype(np.int32), y))  # the last coordinate is the bias
     z, n = np.zeros(len(vocabulary) + 1), np.zeros(len(vocabulary) + 1)
     l1 = np.full(len(z), L1)
     l1[-1] = 0
@@ -105,12 +108,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", held_out: tu
             yield pa.RecordBatch.from_arrays([b.column("id").cast(pa.string()), b.column("label"), pa.array(x, pa.binary())], ["id", "label", "x"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [(str(i), np.frombuffer(x, np.uint32), y) for b in batches for i, y, x in zip(b.column("id").to_pylist(), b.column("label").to_pylist(), b.column("x").to_pylist(), strict=True)]
+        rows = [(str(i), np.frombuffer(x.as_buffer(), np.uint32), y) for b in batches for i, y, x in zip(b.column("id").to_pylist(), b.column("label").to_pylist(), b.column("x"), strict=True)]
         rows.sort(key=lambda r: (r[0], len(r[1])))
         index, weight, bias = fit([(x, y) for _, x, y in rows])
         yield pa.RecordBatch.from_arrays([pa.array([index.tobytes()], pa.binary()), pa.array([weight.tobytes()], pa.binary()), pa.array([bias])], ["index", "weight", "bias"])
 
-    rows = sample.mapInArrow(featurise, "id string, label int, x binary").repartition(1).mapInArrow(learn, "index binary, weight binary, bias double").collect()
+    rows = sample.mapInArrow(lean(featurise), "id string, label int, x binary").repartition(1).mapInArrow(lean(learn), "index binary, weight binary, bias double").collect()
     return (np.frombuffer(rows[0]["index"], np.uint32), np.frombuffer(rows[0]["weight"], np.float32), rows[0]["bias"]) if rows else fit([])
 
 
@@ -124,7 +127,7 @@ def score(docs: DataFrame, model: tuple, id_col: str = "doc_id", text_col: str =
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m.score(features(t or "", hashes, stems)) for t in b.column(1).to_pylist()], pa.float64())], ["id", "score"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, score double")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(lean(run), f"id {kind}, score double")
 
 
 def clean(docs: DataFrame, model: tuple, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -137,4 +140,4 @@ def clean(docs: DataFrame, model: tuple, text_col: str = "text", threshold: floa
         for b in batches:
             yield b.filter(pa.array([m.score(features(t or "", hashes, stems)) < threshold for t in b.column(place).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

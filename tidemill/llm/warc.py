@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import filesystem, new_path, stored
+from .common import filesystem, lean, new_path, stored
 
 MIN_REVISIT = 100
 #: Bytes of records after which a writer starts another archive.
@@ -143,7 +143,7 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
         close()
         yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64()))], ["archive", "records", "bytes"])
 
-    return stored(rows.mapInArrow(run, MANIFEST), "manifest")
+    return stored(rows.mapInArrow(lean(run), MANIFEST), "manifest")
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -181,7 +181,7 @@ def normalise(manifest: DataFrame, source: str, target: str) -> DataFrame:
                 if lines:
                     yield batch(lines)
 
-    return stored(spread(manifest).mapInArrow(run, INDEX), "index")
+    return stored(spread(manifest).mapInArrow(lean(run), INDEX), "index")
 
 
 FIELDS = [x.split()[0] for x in INDEX.split(", ")]
@@ -228,7 +228,7 @@ def read(index: DataFrame, folder: str, id_type: str = "bigint") -> DataFrame:
         if source:
             source.close()
 
-    return index.select("archive", "offset", "length").mapInArrow(run, f"id {id_type}, target string, type string, refers_to {id_type}, payload_bytes long, digest string, payload binary")
+    return index.select("archive", "offset", "length").mapInArrow(lean(run), f"id {id_type}, target string, type string, refers_to {id_type}, payload_bytes long, digest string, payload binary")
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
