@@ -43,7 +43,7 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.verdicts(table(spark, sf_dir, "documents"))
-    return out.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_divergence", "word_divergence")
+    return out.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("char_distance", 6).alias("char_distance"), F.round("word_distance", 6).alias("word_distance"))
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,6 +105,34 @@ o AS (SELECT d.doc_id, d.size, f.source_size, f.target, f.whole, f.target - f.wh
     coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM d JOIN f ON d.source IS NOT DISTINCT FROM f.source)
 SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN before + size / 2.0 <= rest THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM o
+""",
+    "op6_quality_rules": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang IS NULL AS no_lang, coalesce(lang, '') AS lang, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, no_lang, lang, unnest(l) AS w, generate_subscripts(l, 1) AS i FROM (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS l FROM d)),
+g AS (SELECT r, i, [w, lead(w, 1) OVER o, lead(w, 2) OVER o, lead(w, 3) OVER o, lead(w, 4) OVER o] AS g, lead(w, 4) OVER o IS NOT NULL AS whole FROM w WINDOW o AS (PARTITION BY r ORDER BY i)),
+again AS (SELECT r, i FROM g WHERE whole QUALIFY count(*) OVER (PARTITION BY r, g) > 1),
+covered AS (SELECT r, count(DISTINCT i + k) AS n FROM again, range(5) x(k) GROUP BY r),
+lines AS (SELECT r, count(*) - count(DISTINCT x) AS n FROM (SELECT r, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY r),
+p AS (SELECT r, length(t) AS a0, length(regexp_replace(t, '[a-z]+', '', 'g')) AS a1, length(regexp_replace(t, '[a-z\x20\x09-\x0D]+', '', 'g')) AS a2,
+    length(regexp_replace(t, '[a-zA-Z\x20\x09-\x0D]+', '', 'g')) AS a3, length(regexp_replace(t, '[a-zA-Z\x20\x09-\x0D.,;:?!''"()-]+', '', 'g')) AS a4,
+    length(regexp_replace(t, '[a-zA-Z0-9\x20\x09-\x0D.,;:?!''"()-]+', '', 'g')) AS a5, length(regexp_replace(t, '[a-zA-Z0-9\x20\x09-\x0D.,;:?!''"()-]+|[^\x00-\x7F]+', '', 'g')) AS a6 FROM d),
+c AS (SELECT r, unnest([a0 - a1, a1 - a2, a2 - a3, a3 - a4, a4 - a5, a5 - a6, a6]) AS n, unnest(range(7)) AS k FROM p),
+cs AS (SELECT no_lang, lang, k, sum(n) AS n FROM c JOIN d USING (r) GROUP BY 1, 2, 3),
+cref AS (SELECT no_lang, lang, k, n / greatest(sum(n) OVER (PARTITION BY no_lang, lang), 1) AS q FROM cs),
+cdist AS (SELECT r, sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2, 0)) AS x
+  FROM (SELECT r, q, n / length(t) AS p FROM c JOIN d USING (r) JOIN cref USING (no_lang, lang, k) WHERE length(t) >= 200) GROUP BY r),
+wc AS (SELECT no_lang, lang, lower(w) AS w, count(*) AS n, sum(count(*)) OVER (PARTITION BY no_lang, lang) AS total FROM w GROUP BY 1, 2, 3),
+top AS (SELECT no_lang, lang, w, n / total AS q FROM wc WHERE total >= 1000 QUALIFY row_number() OVER (PARTITION BY no_lang, lang ORDER BY n DESC, w) <= 20),
+many AS (SELECT r, no_lang, lang, count(*) AS n, sum(length(w)) AS chars FROM w GROUP BY 1, 2, 3),
+f AS (SELECT r, lower(w) AS w, count(*) AS n FROM w GROUP BY 1, 2),
+pq AS (SELECT r, top.w, coalesce(f.n, 0) AS n, many.n AS m, q FROM many JOIN top USING (no_lang, lang) LEFT JOIN f USING (r, w) WHERE many.n >= 50),
+shares AS (SELECT r, n / m AS p, q FROM pq UNION ALL SELECT r, (any_value(m) - sum(n)) / any_value(m), 1 - sum(q) FROM pq GROUP BY r),
+wdist AS (SELECT r, sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2, 0)) AS x FROM shares GROUP BY r),
+m AS (SELECT doc_id, coalesce(many.n, 0) AS n_words, CAST(coalesce(many.chars, 0) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+    coalesce(lines.n, 0) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words, cdist.x AS cx, wdist.x AS wx
+  FROM d LEFT JOIN many USING (r) LEFT JOIN lines USING (r) LEFT JOIN covered USING (r) LEFT JOIN cdist USING (r) LEFT JOIN wdist USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND coalesce(cx, 0) <= sqrt(0.10) AND coalesce(wx, 0) <= sqrt(0.17) AS kept, round(cx, 6) AS char_distance, round(wx, 6) AS word_distance FROM m
 """,
     "op4_exact_dedup": r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS t, length(coalesce(text, '')) AS cp FROM documents)
