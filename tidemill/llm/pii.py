@@ -3,11 +3,13 @@
 Seeds are spans that four exact rules find: e-mail addresses, IP addresses, card numbers that pass Luhn, and phone numbers.  The
 rules scan in linear time: runs that a backtracking engine would try from each of their characters are tried once.
 
-Bootstrapping.  An *instance* is a seed or any other token that looks like an identifier (it holds ``MIN_DIGITS`` digits or
-an @); a *pattern* is what stands before it, the last word or the last two.  Spark counts the graph of patterns and instances over the
+Bootstrapping.  An *instance* is a seed or anything else that looks like an identifier: a token with an @, one of ``MIN_DIGITS`` digits or more
+and marks, or several of these with single spaces between them, 7 to 19 digits in all.  A *pattern* is what stands next to it: the last word or
+the last two before it, the first or the first two after it, whatever their length.  Spark counts the graph of patterns and instances over the
 whole corpus and scores it in rounds: a pattern's confidence in a kind is the share of its occurrences whose instance is held to be
-of that kind (smoothed); an unseen instance's is a noisy-or over the confident patterns that it occurs with.  An unseen instance of
-sufficient score, whose shape suits the kind, becomes a span wherever a confident pattern of that kind stands before it.  Seeds always stay.
+of that kind (smoothed); an unseen instance's is a noisy-or over the confident patterns that it occurs with, and one of sufficient score, whose
+shape suits the kind, is held to be of it from then on.  Rounds go on until one adds nothing; as none takes anything away, there is such a
+round.  An unseen instance becomes a span wherever a confident pattern of its kind stands next to it.  Seeds always stay.
 
 The texts are read once; what is shuffled are counts of pairs, combined on the map side, and spans.
 
@@ -18,6 +20,7 @@ other columns are left alone.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,10 +28,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import stored
+from .common import lean, stored
 
 KINDS = ("email", "ip", "card", "phone")
-MIN_DIGITS, MIN_SUPPORT, ROUNDS = 5, 5, 3
+MIN_DIGITS, MIN_SUPPORT = 5, 5
 CONFIDENT, ACCEPTED, SMOOTH = 0.8, 0.8, 1.0
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -36,7 +39,9 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _HINT = re.compile(r"[0-9@]+")
-_SPACE = " \t\n\x0b\x0c\r"
+_TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
+_NUMBER = re.compile(r"[+(]?[0-9][0-9.()/-]*").fullmatch
+_LOWER = {c: c + 32 for c in range(65, 91)}
 _MARKS = ".,;:!?\"'()[]{}<>=|#*$%&"
 
 
@@ -65,7 +70,7 @@ def emails(text: str) -> list[tuple[int, int]]:
 def seeds(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end), sorted."""
     found = [(0, *s) for s in emails(text)]
-    found += [(1, m.start(), m.end()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+    found += [(1, m.start(), m.end()) for m in _IP.finditer(text) if all(len(p := q.lstrip("0") or "0") <= 3 and int(p) <= 255 for q in m[0].split("."))]
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 13 and 13 <= len(d := m[0].replace(" ", "").replace("-", "")) <= 19 and luhn(d):
             found.append((2, m.start(), m.end()))
@@ -84,41 +89,66 @@ def suits(token: str) -> int:
     return 2 * (2 <= token.count(".") <= 4) + 4 * (12 <= digits <= 19) + 8 * (7 <= digits <= 15)
 
 
-def before(text: str, start: int, words: int = 2) -> list[str]:
-    """The word before a place, and the two words before it, without marks and in lower case (A-Z); within a bounded stretch."""
-    left = text[max(0, start - 120) : start]
-    near = [w for w in (x.strip(_MARKS).lower() for x in left.split()[-words - 1 :]) if w][-words:]
-    return [" ".join(near[-k:]) for k in range(1, words + 1) if len(near) >= k]
+def phrases(words: list[str], words_: int = 2) -> list[list[str]]:
+    """The first word and the first two, without marks, in lower case (A-Z) and with words of marks alone left out."""
+    near = [w for w in (x.strip(_MARKS).translate(_LOWER) for x in words) if w][:words_]
+    return [near[:k] for k in range(1, len(near) + 1)]
 
 
 def candidates(text: str, found: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, list[int], int]]:
-    """(kind or -1, start, end, shape, hashes of the patterns, hash of the instance) of seeds and of other tokens that look like identifiers."""
+    """(kind or -1, start, end, shape, hashes of the patterns, hash of the instance) of seeds and of whatever else looks like an identifier.
+    The time is linear in the text: a token is looked at once for itself and as context of the few identifiers that are next to it."""
     taken = sorted((s, e) for _, s, e in found)
-    out, end, k = [], 0, 0
-    h = xxhash.xxh64_intdigest
+    tokens = [m.span() for m in _TOKEN.finditer(text)]
+    starts = [s for s, _ in tokens]
+    out: list[tuple] = []
+
+    def number(x: str) -> int:
+        return xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) - (1 << 63)
 
     def add(kind: int, s: int, e: int, shape: int) -> None:
-        out.append((kind, s, e, shape, [h(p.encode("utf-8", "surrogatepass")) - (1 << 63) for p in before(text, s)], h(text[s:e].encode("utf-8", "surrogatepass")) - (1 << 63)))
+        i, j = bisect_right(starts, s) - 1, bisect_right(starts, e - 1) - 1
+        left = [text[tokens[i][0] : s], *(text[slice(*x)] for x in tokens[max(0, i - 2) : i][::-1])]
+        right = [text[e : tokens[j][1]], *(text[slice(*x)] for x in tokens[j + 1 : j + 3])]
+        patterns = [" ".join(x[::-1]) + " <" for x in phrases(left)] + ["> " + " ".join(x) for x in phrases(right)]
+        out.append((kind, s, e, shape, [number(p) for p in patterns], number(text[s:e])))
+
+    def bare(k: int) -> tuple[int, int]:
+        """A token without the marks around it; an opening bracket that it closes stays."""
+        s, e = tokens[k]
+        t = text[s:e]
+        s += len(t) - len(t.lstrip(_MARKS))
+        e -= len(t) - len(t.rstrip(_MARKS))
+        return (s - 1, e + 1) if s > tokens[k][0] and e < tokens[k][1] and text[s - 1] + text[e] == "()" else (s, max(s, e))
+
+    def free(s: int, e: int) -> bool:
+        k = bisect_right(taken, (s, e))
+        return s < e and not (k and taken[k - 1][1] > s) and not (k < len(taken) and taken[k][0] < e)
 
     for kind, s, e in found:
         add(kind, s, e, 1 << kind)
+    done = -1
     for m in _HINT.finditer(text):
-        if m.start() < end:
+        k = bisect_right(starts, m.start()) - 1
+        if k <= done:
             continue
-        s, e = m.start(), m.end()
-        while s > end and text[s - 1] not in _SPACE:
-            s -= 1
-        while e < len(text) and text[e] not in _SPACE:
-            e += 1
-        end = e
-        token = text[s:e]
-        s += len(token) - len(token.lstrip(_MARKS))
-        token = token.strip(_MARKS)
-        e = s + len(token)
-        while k < len(taken) and taken[k][1] <= s:
-            k += 1
-        if (k == len(taken) or taken[k][0] >= e) and token and (shape := suits(token)):
-            add(-1, s, e, shape)
+        run = [bare(k)]
+        last = k
+        while _NUMBER(text[run[-1][0] : run[-1][1]]) and run[-1][1] == tokens[last][1] and last + 1 < len(tokens) and tokens[last + 1][0] == tokens[last][1] + 1 and text[tokens[last][1]] == " ":
+            nxt = bare(last + 1)
+            if nxt[0] != tokens[last + 1][0] or not _NUMBER(text[nxt[0] : nxt[1]]):
+                break
+            run.append(nxt)
+            last += 1
+        done = last
+        s, e = run[0][0], run[-1][1]
+        if len(run) > 1 and 7 <= sum("0" <= c <= "9" for c in text[s:e]) <= 19 and free(s, e):
+            if shape := suits(text[s:e].replace(" ", "")):
+                add(-1, s, e, shape)
+                continue
+        for s, e in run:
+            if free(s, e) and (shape := suits(text[s:e])):
+                add(-1, s, e, shape)
     return out
 
 
@@ -137,7 +167,7 @@ def extracted(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 others.append([dict(zip(("kind", "start", "end", "shape", "patterns", "instance"), x, strict=True)) for x in (candidates(text, spans) if text and _HINT.search(text) else [])])
             yield pa.RecordBatch.from_arrays([b.column(0).cast(to_arrow_type(kind)), pa.array(found, types[0]), pa.array(others, types[1])], ["id", "found", "candidates"])
 
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(lean(run), schema)
     return stored(out.withColumn("row", F.monotonically_increasing_id()), "spans")
 
 
@@ -151,15 +181,18 @@ def bootstrap(rows: DataFrame) -> DataFrame:
     kinds = F.explode(F.array(*[F.lit(k) for k in range(len(KINDS))]))
     unseen = graph.filter("kind < 0").withColumn("kind", kinds).filter(F.expr("(shape & shiftleft(1, kind)) <> 0")).select("pattern", "instance", "kind", F.col("n").cast("double").alias("n"))
     unseen = stored(unseen.join(total.select("pattern"), "pattern", "left_semi"), "unseen")
-    believed = known
-    for _ in range(ROUNDS):
+    held, n = None, 0  # the unseen instances that are held to be of a kind, and their number
+    while True:
+        believed = known if held is None else known.union(unseen.join(held, ["instance", "kind"]).select("pattern", "instance", "kind", "n"))
         confidence = believed.groupBy("pattern", "kind").agg(F.sum("weight").alias("weight")).join(total, "pattern")
         confidence = stored(confidence.select("pattern", "kind", (F.col("weight") / (F.col("total") + SMOOTH)).alias("confidence")).filter(F.col("confidence") >= CONFIDENT / 2), "confidence")
         scores = unseen.join(confidence, ["pattern", "kind"]).groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.least(F.col("confidence"), F.lit(0.999)))))).alias("score"))
-        scored = stored(unseen.join(scores, ["instance", "kind"]), "scored")
-        believed = known.union(scored.select("pattern", "instance", "kind", F.col("n") * F.col("score")))
+        held = stored(scores.filter(F.col("score") >= ACCEPTED), "held")
+        if (more := held.count()) == n:
+            break
+        n = more
     sure = confidence.filter(F.col("confidence") >= CONFIDENT).select("pattern", "kind")
-    return stored(scored.filter(F.col("score") >= ACCEPTED).join(sure, ["pattern", "kind"]).select("pattern", "instance", "kind", "score"), "discovered")
+    return stored(unseen.join(held, ["instance", "kind"]).join(sure, ["pattern", "kind"]).select("pattern", "instance", "kind", "score"), "discovered")
 
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
