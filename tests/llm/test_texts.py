@@ -210,7 +210,6 @@ def plain_model(tokens, train):
         s = ["\n", *tokens[i]]
         c2.update(zip(s, s[1:]))
         c3.update(zip(s, s[1:], s[2:]))
-    c2, c3 = ({k: x for k, x in c.items() if x >= 2} for c in (c2, c3))
     l2, l3 = defaultdict(float), defaultdict(float)
     for (a, _), c in c2.items():
         l2[a] += (c - 0.75) / c1[a]
@@ -229,8 +228,10 @@ def plain_model(tokens, train):
     return c1, n, one, two, three
 
 
-def test_language_model(spark, edge_rows, prose_of):
-    rows = [(1000 + k, prose_of(k % 30, 40 + k % 7)) for k in range(120)] + [r[:2] for r in edge_rows if r[0] is not None]
+@pytest.mark.parametrize("tokens", [4_000_000, 700, 40])  # one shard, some, and so many that words and pairs are cut
+def test_language_model(spark, edge_rows, prose_of, monkeypatch, tokens):
+    monkeypatch.setattr(lm, "SHARD_TOKENS", tokens)
+    rows = [(1000 + k, prose_of(k % 30, 40 + k % 7)) for k in range(120)] + [(2000 + k, f"the hot pair x{k} the hot pair") for k in range(60)] + [r[:2] for r in edge_rows if r[0] is not None and len(r[1] or "") < 10**5]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     model = lm.train(docs, remainder("doc_id", 5) != 1)
     ends = {i: [*((t or "").encode().lower().decode().split()), "\n"] for i, t in enumerate(x[1] for x in rows)}
@@ -240,7 +241,7 @@ def test_language_model(spark, edge_rows, prose_of):
     m = lm.Model(*model)
     the, of = m.word_ids([b"the", b"of"])
     words, nodes = m.levels[1].children(int(the))
-    assert dict(zip(words.tolist(), nodes.tolist()))[int(of)] == m.levels[1].find(np.array([the]), np.array([of]))[0][0] and (np.diff(words) > 0).all()
+    assert dict(zip(words.tolist(), nodes.tolist()))[int(of)] == m.levels[1].find(m.levels[1].pair(np.array([the]), np.array([of])))[0][0] and (np.diff(words) > 0).all()
     want = []
     for k, (doc_id, _) in enumerate(rows):
         s = ["\n", *ends[k]]

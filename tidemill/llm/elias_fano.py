@@ -16,16 +16,20 @@ U64 = np.uint64
 
 #: In each byte, the place of the bit that has so many set bits before it.
 _IN_BYTE = np.array([([k for k in range(8) if b >> k & 1] + [0] * 8)[:8] for b in range(256)], np.uint8).ravel()
+_1, _2, _4, _EACH, _TOP = (U64(x) for x in (0x5555555555555555, 0x3333333333333333, 0x0F0F0F0F0F0F0F0F, 0x0101010101010101, 0x8080808080808080))
 
 
 def select(words: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Place of the bit that has ``rank`` set bits before it, in each of the words: first its byte, then the place in it."""
-    each = words.view(np.uint8).reshape(-1, 8)
-    upto = np.cumsum(np.bitwise_count(each), axis=1, dtype=np.uint8)
-    byte = np.minimum((upto <= rank.astype(np.uint8)[:, None]).sum(axis=1), 7)
-    rows = np.arange(len(words))
-    left = rank - np.where(byte > 0, upto[rows, byte - 1], 0)
-    return byte * 8 + _IN_BYTE[each[rows, byte].astype(np.int64) * 8 + left]
+    """Place of the bit that has ``rank`` set bits before it, in each of the words: first its byte, then the place in it.  The set bits up to each
+    byte are summed, and compared with the rank, in all eight bytes at once."""
+    s = words - ((words >> U64(1)) & _1)
+    s = (s & _2) + ((s >> U64(2)) & _2)
+    upto = ((s + (s >> U64(4))) & _4) * _EACH
+    r = rank.astype(U64)
+    less = (((r * _EACH) | _TOP) - upto) & _TOP  # of bytes up to which there are no more than ``rank``
+    byte = np.minimum(np.bitwise_count(less), 7).astype(U64) * U64(8)
+    left = r - (((upto << U64(8)) >> byte) & U64(255))
+    return byte.astype(np.int64) + _IN_BYTE[(((words >> byte) & U64(255)) * U64(8) + (left & U64(7))).astype(np.int64)]
 
 
 class EliasFano:
@@ -48,7 +52,7 @@ class EliasFano:
         low = np.concatenate([*packed, np.zeros(0, np.uint8)])
         low = np.append(low, np.zeros(16 + -len(low) % 8, np.uint8)).view(U64)
         place = (v >> U64(l)).astype(np.int64) + np.arange(n)
-        bits = np.zeros((int(place[-1]) if n else 0) // 64 * 64 + 128, np.uint8)  # at least one zero follows
+        bits = np.zeros((int(place[-1]) if n else 0) // 64 * 64 + 192, np.uint8)  # at least a word of zeros follows
         bits[place] = 1
         high = np.packbits(bits, bitorder="little").view(U64)
         ones = np.concatenate([[0], np.cumsum(np.bitwise_count(high).astype(np.int64))])
@@ -78,9 +82,18 @@ class EliasFano:
         return np.where(h <= 0, 0, np.minimum(place - z, self.n))
 
     def bucket(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """First and end place of the values whose high part is that of x, and x's low part."""
+        """First and end place of the values whose high part is that of x, and x's low part.  A bucket's values are the set bits that follow
+        one another after the zero of the bucket before."""
         h = np.minimum(x >> U64(self.l), U64(1 << 62)).astype(np.int64)
-        return self.starts(h), self.starts(h + 1), x & U64((1 << self.l) - 1)
+        first = self.starts(h)
+        bit = np.minimum(first + h, len(self.high) * 64 - 128)
+        word, off = bit >> 6, (bit & 63).astype(U64)
+        ahead = self.high[word] >> off | np.where(off > 0, self.high[word + 1] << ((U64(64) - off) & U64(63)), U64(0))
+        n = np.bitwise_count(ahead & ~(ahead + U64(1))).astype(np.int64)
+        end = np.minimum(first + n, self.n)
+        if len(more := np.flatnonzero(n == 64)):
+            end[more] = self.starts(h[more] + 1)
+        return first, end, x & U64((1 << self.l) - 1)
 
     def search(self, a: np.ndarray, b: np.ndarray, low: np.ndarray) -> np.ndarray:
         """In each bucket, the first place whose low part is at least ``low``, or the bucket's end."""
@@ -131,5 +144,9 @@ def from_file(uri: str) -> dict[str, np.ndarray]:
                 f.write(part)
             f.flush()
             data = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+    return from_bytes(data)
+
+
+def from_bytes(data) -> dict[str, np.ndarray]:
     size = int.from_bytes(data[:8], "little")
     return {k: np.frombuffer(data, np.dtype(t), n, 8 + size + at) for k, (t, at, n) in json.loads(data[8 : 8 + size]).items()}

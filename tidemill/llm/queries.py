@@ -37,7 +37,7 @@ def byte_bpe() -> str:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = packing.pack(table(spark, sf_dir, "documents"), byte_bpe(), ids="crc32(ids)")
+    out = packing.pack(table(spark, sf_dir, "documents"), byte_bpe(), ids="crc32(ids)", remembered=160 << 20)
     return out.select(F.col("id").alias("doc_id"), "piece", "start", "length", F.col("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
@@ -54,8 +54,9 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = lm.train(docs, remainder("doc_id", 5) != 1, min_count=1)
-    return lm.score(docs, model).select(F.col("id").alias("doc_id"), (remainder("id", 5) == 1).alias("held_out"), "n_tokens", "n_known", F.lit(model[1]).cast("long").alias("train_tokens"), "base_score", "score")
+    rows, vocabulary = lm.encoded(docs, remainder("doc_id", 5) != 1)
+    model = lm.grown(rows, vocabulary)
+    return lm.scored(rows, model).select(F.col("id").alias("doc_id"), (remainder("id", 5) == 1).alias("held_out"), "n_tokens", "n_known", F.lit(model[1]).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
