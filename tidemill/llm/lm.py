@@ -34,9 +34,9 @@ from .common import filesystem, lean, new_path, publish, stored
 from .elias_fano import U64, EliasFano, from_bytes, from_file, to_bytes
 
 DISCOUNT = 0.75
-#: Words of a vocabulary shard and tokens of an n-gram shard, about; tokens that are counted or looked up together; trigrams that the sample
-#: has for each shard; bytes that a worker remembers words in.
-SHARD, SHARD_TOKENS, BLOCK, SAMPLE, REMEMBERED = 2_000_000, 4_000_000, 2_000_000, 500, 64 << 20
+#: Words of a vocabulary shard and tokens of an n-gram shard, about; tokens that are counted together, and that are scored together (some 300
+#: bytes each); trigrams that the sample has for each shard; bytes that a worker remembers words in.
+SHARD, SHARD_TOKENS, BLOCK, SCORED, SAMPLE, REMEMBERED = 2_000_000, 2_500_000, 1_500_000, 500_000, 500, 48 << 20
 END = "\n"
 STEP = 16 / 65535
 UNKNOWN = 0xFFFFFFFF
@@ -596,7 +596,7 @@ def scored(rows: DataFrame, model: tuple) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = opened(shared.value)
-        for held, ids, starts in tokens(batches, 1):
+        for held, ids, starts in tokens(batches, 1, SCORED):
             out = m.score(ids, starts)
             yield pa.RecordBatch.from_arrays([pa.concat_arrays([b.column(0) for b in held]), *(pa.array(x) for x in out)], ["id", "n_tokens", "n_known", "base_score", "score"])
 
