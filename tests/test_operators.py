@@ -20,7 +20,9 @@ def numbers(spark):
 
 @pytest.fixture(scope="module")
 def groups(spark):
-    return spark.createDataFrame([("a", 1, 1, "b"), ("b", 1, 2, "a"), ("a", 2, 3, "b"), ("b", 1, 2, "a"), ("c", 1, 5, "c")], "grp string, sub int, value long, name string")
+    """Forty rows by rule: three groups of unequal size, two parts each, values with gaps and repeats."""
+    rows = [("north" if k % 5 < 3 else "south" if k % 5 == 3 else "west", k % 2, k * k % 23, f"n{k % 7}") for k in range(40)]
+    return spark.createDataFrame(rows, "grp string, sub int, value long, name string")
 
 
 def test_limit_and_offset(numbers):
@@ -48,10 +50,16 @@ def test_filter_project_compute(spark):
 
 
 def test_aggregates(groups):
+    rows = values(groups)
     row = global_agg(groups, count("cnt"), sum_("value"), avg("value"), min_("name", "min_name"), max_("value"), count_distinct("name", "distinct")).first()
-    assert tuple(row) == (5, 13, 2.6, "a", 5, 3)
-    assert sorted(values(group_agg(groups, ["grp", "sub"], count("n"), sum_("value")))) == [("a", 1, 1, 1), ("a", 2, 1, 3), ("b", 1, 2, 4), ("c", 1, 1, 5)]
-    assert sorted(values(group_agg(groups, ["grp"]))) == [("a",), ("b",), ("c",)]
+    total = sum(r[2] for r in rows)
+    assert tuple(row) == (40, total, total / 40, "n0", max(r[2] for r in rows), 7)
+    want = {}
+    for grp, sub, value, _ in rows:
+        n, s = want.get((grp, sub), (0, 0))
+        want[grp, sub] = (n + 1, s + value)
+    assert sorted(values(group_agg(groups, ["grp", "sub"], count("n"), sum_("value")))) == sorted((*k, *v) for k, v in want.items())
+    assert sorted(values(group_agg(groups, ["grp"]))) == [("north",), ("south",), ("west",)]
     none = global_agg(groups.filter(F.lit(False)), count("n"), sum_("value"), avg("value"), min_("value"), count_distinct("name")).first()
     assert tuple(none) == (0, 0, 0.0, None, 0)
     for bad in (sum_, avg):
@@ -65,9 +73,10 @@ def test_average_of_large_numbers_is_exact(spark):
 
 
 def test_sort_and_top(spark):
-    df = spark.createDataFrame([(9, "b"), (10, "c"), (10, "a"), (8, "z"), (10, "d")], "score int, name string")
+    rows = [(k * 7 % 4, f"w{k * 11 % 17:02d}") for k in range(17)]
+    df = spark.createDataFrame(rows, "score int, name string")
     order = [F.desc("score"), F.asc("name")]
-    want = [(10, "a"), (10, "c"), (10, "d"), (9, "b"), (8, "z")]
+    want = sorted(rows, key=lambda r: (-r[0], r[1]))
     assert values(sort(df, *order)) == want
     assert values(top_k(df, 3, *order)) == want[:3]
     assert values(top_k(df, 50, *order)) == want
@@ -90,6 +99,38 @@ def test_scan_prunes_columns_and_row_groups(spark, tmp_path):
     assert "ReadSchema: struct<>" in scan(spark, path, []).groupBy().count()._jdf.queryExecution().executedPlan().toString()
 
 
+def scanned(df):
+    """Rows that the scan of an executed plan has passed on."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().collectLeaves().head().metrics().apply("numOutputRows").value()
+
+
+def test_scan_skips_row_groups_by_their_statistics(spark, tmp_path):
+    path = str(tmp_path / "t")
+    write_columnar(spark.range(300_000).selectExpr("id", "id DIV 1000 AS block", "repeat(cast(id AS string), 8) AS pad").coalesce(1), path, row_group_bytes=200_000, codec="none")
+    groups = inspect(path)["row_groups"]
+    assert len(groups) > 5
+    for predicate, fits in (
+        (F.col("id") == 1234, lambda c: c["id"]["min"] <= 1234 <= c["id"]["max"]),
+        (F.col("block").between(40, 41), lambda c: c["block"]["min"] <= 41 and c["block"]["max"] >= 40),
+        (F.col("id") >= 290_000, lambda c: c["id"]["max"] >= 290_000),
+        (F.col("id") < 0, lambda c: False),
+    ):
+        df = scan(spark, path, ["id"], predicate)
+        assert scanned(df) <= sum(g["rows"] for g in groups if fits(g["chunks"])) < 300_000 / 2
+
+
+def test_encodings_by_type(spark, tmp_path):
+    path = str(tmp_path / "t")
+    write_columnar(spark.range(50_000).selectExpr("id", "cast(id AS int) AS n", "cast('2013-07-01' AS date) + cast(id AS int) AS d", "concat('kind ', id % 9) AS few", "uuid() AS many", "rand() AS x").coalesce(1), path)
+    chunks = inspect(path)["row_groups"][0]["chunks"]
+    have = {c: set(chunks[c]["encodings"]) for c in chunks}
+    assert "DELTA_BINARY_PACKED" in have["id"] | have["n"] and "DELTA_BINARY_PACKED" in have["d"]
+    assert have["few"] & {"RLE_DICTIONARY", "PLAIN_DICTIONARY"} and have["many"] & {"DELTA_BYTE_ARRAY", "DELTA_LENGTH_BYTE_ARRAY"}
+    assert have["x"] & {"PLAIN", "BYTE_STREAM_SPLIT"} and all(c["compression"] == "ZSTD" for c in chunks.values())
+    assert all(c["compressed"] > 0 and c["uncompressed"] > 0 and c["min"] is not None for c in chunks.values())
+
+
 def test_expressions(spark):
     df = spark.createDataFrame([("http://www.google.com/a",), ("http:///x",), ("http://www./x",), ("https://nohost",), ("ftp://h/x",), ("https://a.b/\nc",), ("é",)], "u string")
     assert [r[0] for r in df.select(domain("u")).collect()] == ["google.com", "", "", "https://nohost", "ftp://h/x", "a.b", "é"]

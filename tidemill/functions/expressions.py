@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, functions as F
 
 #: Scheme, one ``www.``, host; only if a slash follows.
-_HOST = r"^https?://(?:www\.)?([^/]*)/"
+_HOST = r"(?s)^https?://(?:www\.)?([^/]*)/.*$"
 
 
 def _col(c: str | Column) -> Column:
@@ -46,8 +46,7 @@ def minute_floor(c: str | Column) -> Column:
 
 def domain(c: str | Column) -> Column:
     """Host of an http(s) URL without one leading ``www.``; anything without a slash after the host stays as it is."""
-    c = _col(c)
-    return F.when(c.rlike(_HOST), F.regexp_extract(c, _HOST, 1)).otherwise(c)
+    return F.regexp_replace(_col(c), _HOST, "$1")
 
 
 def widened_plus(c: str | Column, k: int) -> Column:

@@ -11,6 +11,7 @@ from ..functions.expressions import byte_length, contains, domain, minute_floor,
 from ..operators.aggregates import avg, count, count_distinct, global_agg, group_agg, max_, min_, sum_
 from ..operators.rows import compute, keep, limit, ordered_limit, project, scan, settled, sort, top_k
 from ..schema import make_schema
+from ..sources.columnar import read_columnar, write_columnar
 from ..sources.csv_files import read_csv, write_csv
 from . import oracle
 from .clickbench import PLANS, build_query
@@ -37,16 +38,45 @@ def _all_aggs(column: str, distinct: str) -> list:
     return [count("n"), sum_(column, "sum_x"), avg(column, "avg_x"), min_(column, "min_x"), max_(column, "max_x"), count_distinct(distinct, "n_distinct")]
 
 
-def _csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """nation, written as CSV and read again, from the folder that driver and executors share."""
-    rows = _table(spark, sf_dir, "nation").selectExpr("n_nationkey", "n_name", "n_regionkey")
+def _new_path(spark: SparkSession, label: str) -> str:
+    """In the folder that driver and executors share."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{folder.rstrip('/')}/tidemill-csv-{uuid.uuid4().hex[:12]}"
+    return f"{folder.rstrip('/')}/tidemill-{label}-{uuid.uuid4().hex[:12]}"
+
+
+def _through_csv(rows: DataFrame, schema) -> DataFrame:
+    """Written as CSV and read again."""
+    path = _new_path(rows.sparkSession, "csv")
     write_csv(rows, path)
-    return read_csv(spark, path, make_schema([("n_nationkey", "INTEGER"), ("n_name", "TEXT"), ("n_regionkey", "INTEGER")]))
+    return read_csv(rows.sparkSession, path, schema)
+
+
+def _csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "nation").selectExpr("n_nationkey", "n_name", "n_regionkey")
+    return _through_csv(rows, make_schema([("n_nationkey", "INTEGER"), ("n_name", "TEXT"), ("n_regionkey", "INTEGER")]))
+
 
+_TYPED = {"key": ("BIGINT", "o_orderkey"), "small": ("SMALLINT", "CAST(o_orderkey % 100 - 50 AS smallint)"), "status": ("CHAR", "o_orderstatus"), "priority": ("VARCHAR(255)", "concat(o_orderpriority, '\"', chr(10), ',')"), "price": ("DOUBLE", "CAST(o_totalprice AS double)"), "day": ("DATE", "CAST(o_orderdate AS date)"), "moment": ("TIMESTAMP", "CAST(o_orderdate AS {timestamp})")}
 
-def _zone_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+
+def _typed(spark: SparkSession, sf_dir: str, through) -> DataFrame:
+    """Columns of all types, with quotes and line ends, on a way out and back; dates and times as text."""
+    rows = _table(spark, sf_dir, "orders").selectExpr(*[f"{x.format(timestamp='timestamp_ntz')} AS {c}" for c, (_, x) in _TYPED.items()])
+    back = through(rows, make_schema([(c, kind) for c, (kind, _) in _TYPED.items()]))
+    return back.withColumns({"day": F.date_format("day", "yyyy-MM-dd"), "moment": F.date_format("moment", "yyyy-MM-dd HH:mm:ss")})
+
+
+def _through_store(rows: DataFrame, schema) -> DataFrame:
+    """To CSV, to the columnar store, and read from there."""
+    path = _new_path(rows.sparkSession, "store")
+    write_columnar(_through_csv(rows, schema), path)
+    return read_columnar(rows.sparkSession, path)
+
+
+_TYPED_SQL = "SELECT " + ", ".join(f"strftime({x.format(timestamp='timestamp')}, '{'%Y-%m-%d' if c == 'day' else '%Y-%m-%d %H:%M:%S'}') AS {c}" if c in ("day", "moment") else f"{x} AS {c}" for c, (_, x) in _TYPED.items()) + " FROM orders"
+
+
+def _block_min_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = compute(_table(spark, sf_dir, "events", "event_id"), {"block": F.floor(F.col("event_id") / 1000).cast("bigint")})
     return group_agg(rows, ["block"], count("n"), min_("event_id", "lo"), max_("event_id", "hi"))
 
@@ -102,11 +132,21 @@ OPERATORS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "op_limit_zero": (lambda s, d: limit(_table(s, d, "region"), 0), "SELECT * FROM region LIMIT 0"),
     "op_offset_limit": (lambda s, d: ordered_limit(df := _table(s, d, "orders", *_ORDER), 20, *settled(df, "o_orderpriority"), offset=40), "SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders ORDER BY o_orderpriority, o_orderkey, o_totalprice LIMIT 20 OFFSET 40"),
     "op_offset_past_end": (lambda s, d: ordered_limit(_table(s, d, "region"), 5, "r_name", offset=100), "SELECT * FROM region ORDER BY r_name LIMIT 5 OFFSET 100"),
-    "op_row_group_zone_map": (_zone_map, "SELECT CAST(floor(event_id / 1000) AS BIGINT) AS block, count(*) AS n, min(event_id) AS lo, max(event_id) AS hi FROM events GROUP BY 1"),
+    "op_block_min_max": (_block_min_max, "SELECT CAST(floor(event_id / 1000) AS BIGINT) AS block, count(*) AS n, min(event_id) AS lo, max(event_id) AS hi FROM events GROUP BY 1"),
     "op_prune_eq": (lambda s, d: _table(s, d, "events", "event_id", "user_id", where=F.col("event_id") == 77), "SELECT event_id, user_id FROM events WHERE event_id = 77"),
     "op_prune_between": (lambda s, d: _table(s, d, "events", "event_id", "user_id", where=F.col("event_id").between(100, 199)), "SELECT event_id, user_id FROM events WHERE event_id BETWEEN 100 AND 199"),
     "op_prune_ne": (lambda s, d: _table(s, d, "events", "event_id", "user_id", where=F.col("user_id") != 7), "SELECT event_id, user_id FROM events WHERE user_id <> 7"),
     "op_csv_round_trip": (_csv_round_trip, "SELECT n_nationkey, n_name, n_regionkey FROM nation"),
+    "op_csv_typed": (lambda s, d: _typed(s, d, _through_csv), _TYPED_SQL),
+    "op_store_typed": (lambda s, d: _typed(s, d, _through_store), _TYPED_SQL),
+    "op_keep_function": (
+        lambda s, d: keep(_table(s, d, "part", "p_partkey", "p_size"), lambda row: row["p_size"] % 7 == 3),
+        "SELECT p_partkey, p_size FROM part WHERE p_size % 7 = 3",
+    ),
+    "op_compute_function": (
+        lambda s, d: compute(_table(s, d, "part", "p_partkey", "p_size"), {"both": (lambda row: row["p_partkey"] * 100 + row["p_size"], "long")}),
+        "SELECT p_partkey, p_size, CAST(p_partkey AS BIGINT) * 100 + p_size AS both FROM part",
+    ),
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f"q{k:02d}": _query(k) for k in PLANS} | {k: v[0] for k, v in OPERATORS.items()}
