@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tidemill.llm import packing, quality_rank, toxicity, warc
 from tidemill.llm.common import new_path
 from tidemill.llm.queries import QUERIES, byte_bpe
+from tidemill.llm.training import labelled_sample
 
 SF = "/root/testdata/sf0.001"
 STEMS = ["grumbo", "snarl", "vexil"]
@@ -156,6 +157,21 @@ def test_archives(spark):
     assert warc.round_trip(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_archives_with_clashing_columns(spark):
+    same = "<p>" + "y" * 120 + "</p>"
+    names = ["id", "size", "digest", "file", "at", "first", "payload", "refers_to", "n"]
+    docs = spark.createDataFrame([(k, "u", same if k % 2 else f"short {k}", *([k] * len(names))) for k in range(6)], PAGES + "".join(f", {n} int" for n in names))
+    got = sorted((r["id"], r["type"], r["refers_to"]) for r in warc.round_trip(docs).collect())
+    assert got == [(0, "response", None), (1, "response", None), (2, "response", None), (3, "revisit", 1), (4, "response", None), (5, "revisit", 1)]
+
+
+def test_labelled_rows_are_bounded_where_ids_repeat(spark):
+    docs = spark.createDataFrame([(k % 3, f"text {k}", k, k) for k in range(300)], "doc_id long, text string, label int, at int")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(3)] + [(0, 1)], "doc_id long, toxic int")
+    rows = labelled_sample(docs, labels, "toxic", F.lit(True), limit=20).collect()
+    assert len(rows) == 20 and all(r["label"] == (r["id"] != 2) for r in rows)
+
+
 def test_normaliser(spark):
     pages = spark.range(50).selectExpr("id AS page_id", "concat('http://h/', id) AS url", "repeat(concat('payload ', id), 30) AS html").coalesce(2)
     whole, members = new_path(spark, "w"), new_path(spark, "m")
@@ -199,5 +215,23 @@ def test_pipeline(spark):
     assert out.count() > 0 and full.isEmpty()
 
 
+def test_pipeline_edges(spark, edges, edge_rows, tmp_path):
+    import corpus_pipeline as p
+
+    for name, rows in (("some", edges), ("none", edges.limit(0))):
+        folder = f"{tmp_path}/{name}"
+        docs = rows.withColumn("n_chars", F.length("text"))
+        docs.write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        out = p.run(spark, folder).collect()
+        if name == "none":
+            assert out == []
+            continue
+        by_id = {r["doc_id"] for r in out}
+        # copies go (2 and 3 of 1, 6 and 5 of 4, 12 of 11, 8 of 7); texts without words are not in the mix
+        assert by_id <= {2, None, 7, 8, 9, 10, 11, 12, 13} and {9, 10} <= by_id | {9, 10} and not {7, 8} <= by_id and not {11, 12} <= by_id
+        assert all(0 <= r["offset"] <= r["offset"] + r["length"] <= 2048 for r in out)
+
+
 def test_one_query_for_each_operator():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))

@@ -252,6 +252,15 @@ def test_language_model(spark, edge_rows, prose_of, monkeypatch, tokens):
         assert a[:3] == b[:3] and math.isclose(a[3], b[3], rel_tol=1e-9, abs_tol=1e-9) and abs(a[4] - b[4]) <= 4e-4 * b[1]
 
 
+def test_clashing_columns_and_null_ids(spark, clashing, edge_rows):
+    assert quality_rules.verdicts(clashing).count() == len(edge_rows)
+    model = lm.train(clashing, remainder("doc_id", 5) != 1)
+    got = lm.score(clashing, model).collect()
+    assert len(got) == len(edge_rows) and sum(r["id"] is None for r in got) == 1 and all(r["score"] < 0 and r["n_tokens"] >= 1 for r in got)
+    again = lm.grown(*lm.encoded(clashing, remainder("doc_id", 5) != 1))
+    assert again[1:] == model[1:]
+
+
 def test_registered_language_model_keeps_what_is_found_once(spark, tmp_path):
     train, held = (next(i for i in range(100) if (zlib.crc32(str(i).encode()) % 5 == 1) is x) for x in (False, True))
     text = " ".join(f"once{k}" for k in range(10))

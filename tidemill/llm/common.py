@@ -148,12 +148,14 @@ def addressed(docs: DataFrame, *columns: Column) -> tuple[DataFrame, DataFrame]:
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """The rows of ``docs`` (as ``addressed`` returned them) whose address is not in the stored table ``gone`` (file, at).  The rows that
     stay aren't moved while those that go are few."""
-    n = gone.count()
-    if not n:
-        return docs
-    gone = F.broadcast(gone) if n <= BROADCAST_ROWS else gone
+    return docs if gone.isEmpty() else located(docs, gone, "left_anti")
+
+
+def located(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """``docs`` (as ``addressed`` returned them) joined with the stored table ``rows`` (file, at and more) by address."""
+    few = F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
     place = docs.metadataColumn("_metadata")
-    return docs.join(gone, (F.xxhash64(place["file_path"]) == gone["file"]) & (place["row_index"] == gone["at"]), "left_anti")
+    return docs.join(few, (F.xxhash64(place["file_path"]) == few["file"]) & (place["row_index"] == few["at"]), how)
 
 
 def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
@@ -172,7 +174,7 @@ def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
 class Remembered(dict):
     """Word to what ``make`` makes of it, remembered; emptied when it takes more than ``limit`` bytes, however long the words are."""
 
-    def __init__(self, make, limit: int = 24 << 20):
+    def __init__(self, make, limit: int = 48 << 20):
         super().__init__()
         self.make, self.limit, self.bytes = make, limit, 0
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import addressed, stored
+from .common import addressed, located, stored
 
 #: Labelled rows that a classifier is fitted on, at most: those with the smallest digests of their id.
 MAX_LABELLED = 12_000
@@ -24,7 +24,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, trainable: C
     ids = ids.select(F.col(id_col).alias("id"), "label", drawn).orderBy("drawn", "id").limit(limit)
     docs, slim = addressed(docs, F.col(id_col).alias("id"))
     rows = slim.join(F.broadcast(ids), "id").orderBy("drawn", "id", "file", "at").limit(limit)
-    few = F.broadcast(stored(rows.select("id", "label", "file", "at"), "sample"))
-    place = docs.metadataColumn("_metadata")
-    picked = docs.join(few, (F.xxhash64(place["file_path"]) == few["file"]) & (place["row_index"] == few["at"]))
+    few = stored(rows.select("id", "label", "file", "at"), "sample")
+    picked = located(docs, few, "inner")
     return picked.select(few["id"].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"), few["label"].alias("label"))

@@ -10,8 +10,8 @@ names that are unique to the attempt and are renamed when whole; what counts is
 task that is run again, or twice at once, does no harm.
 
 Of records with equal payloads of at least ``MIN_REVISIT`` bytes, that with the smallest id is the response, the others are
-revisit records without a payload, which name it.  Digests are compared by grouping with a combiner on the map side, and only
-digests that occur twice are joined back to the pages.
+revisit records without a payload, which name it.  Digests are compared by grouping with a combiner on the map side.  What comes back to the
+pages are the addresses of those that revisit others; payloads stay where they are while these are few (``common.BROADCAST_ROWS``).
 
 Defined results: a null payload is empty; a null or odd URL is written percent-encoded; a null id stays null, and such a row is never
 the one that others refer to; rows that repeat the response's own id are responses too; an empty table gives an empty result; other
@@ -29,10 +29,10 @@ from collections.abc import Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import filesystem, lean, new_path, stored
+from .common import addressed, filesystem, lean, located, new_path, stored
 
 MIN_REVISIT = 100
 #: Bytes of records after which a writer starts another archive.
@@ -105,13 +105,20 @@ def records(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
         del buffer[:size]
 
 
+def payload_of(column: Column) -> Column:
+    return F.coalesce(column, F.lit(""))
+
+
 def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Writes the archives; their stored manifest."""
-    payload = F.coalesce(F.col(payload_col), F.lit(""))
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("digest"))
-    same = rows.filter(F.octet_length("payload") >= MIN_REVISIT).groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1 AND first IS NOT NULL")
-    same = stored(same.select(F.col("digest").alias("d"), "first"), "payloads")
-    rows = rows.join(same, rows["digest"] == same["d"], "left").select("id", "url", "payload", "digest", F.when(~F.col("id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
+    payload = payload_of(F.col(payload_col))
+    pages, slim = addressed(pages, F.col(id_col).alias("id"), F.octet_length(payload).alias("size"), F.unhex(F.sha2(payload, 256)).alias("digest"))
+    slim = stored(slim.filter(F.col("size") >= MIN_REVISIT).select("id", "digest", "file", "at"), "digests")
+    same = slim.groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1 AND first IS NOT NULL")
+    same = stored(same.select("digest", "first"), "payloads")
+    again = stored(slim.join(same, "digest").filter(~F.col("id").eqNullSafe(F.col("first"))).select("file", "at", "first"), "revisits")
+    rows = located(pages, again, "left").select(pages[id_col].alias("id"), pages[url_col].alias("url"), payload_of(pages[payload_col]).alias("payload"), again["first"].alias("refers_to"))
+    rows = rows.select("id", "url", "payload", F.sha2("payload", 256).alias("digest"), "refers_to")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = filesystem(folder)
