@@ -174,7 +174,7 @@ def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
 class Remembered(dict):
     """Word to what ``make`` makes of it, remembered; emptied when it takes more than ``limit`` bytes, however long the words are."""
 
-    def __init__(self, make, limit: int = 48 << 20):
+    def __init__(self, make, limit: int = 20 << 20):
         super().__init__()
         self.make, self.limit, self.bytes = make, limit, 0
 

@@ -50,7 +50,7 @@ _ALNUM, _MARK, _GAP, _INK = r"0-9A-Za-zÀ-ÖØ-öø-ɏ", r"!-&(-/:-@\[-`{-~", r"
 #: non-spaces; of other white space all but the last goes together.
 _SEGMENT = re.compile(rf" ?[{_ALNUM}]++(?=[{_MARK}]|{_GAP}|\Z)| ?[{_MARK}]++(?=[0-9A-Za-z]|{_GAP}|\Z)| ?{_INK}+|{_GAP}+(?!{_INK})|{_GAP}")
 #: Bytes that a worker remembers segments in, unless told otherwise (three times as many save a fifth of the time), and the length of those that it does.
-REMEMBERED, REMEMBERED_LENGTH = 48 << 20, 40
+REMEMBERED, REMEMBERED_LENGTH = 32 << 20, 40
 _LETTERS = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+")
 
 

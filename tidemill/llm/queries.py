@@ -61,7 +61,7 @@ def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    out = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    out = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")), remembered=48 << 20)
     return out.select(F.col("id").alias("doc_id"), (remainder("id", 3) == 1).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 

@@ -30,11 +30,13 @@ BITS, MARKS = 28, b".,;:!?\"'()[]{}<>*#$%&|_~`"
 STEMS = (3, 4, 5, 6, 7)
 ALPHA, BETA, L1, L2, EPOCHS, MIN_DOCS = 2.0, 1.0, 4.0, 0.01, 6, 3
 THRESHOLD = 0.7
+#: Bytes of a worker's memory of words, and as many of their beginnings, unless told otherwise; more of them save time.
+REMEMBERED = 16 << 20
 
 
-def hashing() -> tuple[Remembered, Remembered]:
-    """Word to its 64-bit hash, and to the hashes of its beginnings; both remembered within bounds."""
-    return Remembered(xxhash.xxh64_intdigest), Remembered(lambda word: tuple(xxhash.xxh64_intdigest(word[:n], seed=n) for n in STEMS if len(word) > n))
+def hashing(remembered: int = REMEMBERED) -> tuple[Remembered, Remembered]:
+    """Word to its 64-bit hash, and to the hashes of its beginnings; each remembered within ``remembered`` bytes."""
+    return Remembered(xxhash.xxh64_intdigest, remembered), Remembered(lambda word: tuple(xxhash.xxh64_intdigest(word[:n], seed=n) for n in STEMS if len(word) > n), remembered)
 
 
 def features(text: str, hashes: Remembered, stems: Remembered) -> np.ndarray:
@@ -58,9 +60,11 @@ def fit(rows: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray, flo
         parts.append(v[df >= MIN_DOCS])
     vocabulary = np.concatenate(parts)
     places = []
-    for x, y in rows:
+    for k, (x, y) in enumerate(rows):
+        rows[k] = None  # what isn't needed any more is let go of
         at = np.searchsorted(vocabulary, x)
         at = at[(at < len(vocabulary)) & (vocabulary[np.minimum(at, len(vocabulary) - 1)] == x)] if len(vocabulary) else at[:0]
+        del x
         places.append((np.append(at, len(vocabulary)).astype(np.int32), y))  # the last coordinate is the bias
     z, n = np.zeros(len(vocabulary) + 1), np.zeros(len(vocabulary) + 1)
     l1 = np.full(len(z), L1)
@@ -110,33 +114,34 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", held_out: tu
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [(str(i), np.frombuffer(x.as_buffer(), np.uint32), y) for b in batches for i, y, x in zip(b.column("id").to_pylist(), b.column("label").to_pylist(), b.column("x"), strict=True)]
         rows.sort(key=lambda r: (r[0], len(r[1])))
-        index, weight, bias = fit([(x, y) for _, x, y in rows])
+        rows = [r[1:] for r in rows]
+        index, weight, bias = fit(rows)
         yield pa.RecordBatch.from_arrays([pa.array([index.tobytes()], pa.binary()), pa.array([weight.tobytes()], pa.binary()), pa.array([bias])], ["index", "weight", "bias"])
 
     rows = sample.mapInArrow(lean(featurise), "id string, label int, x binary").repartition(1).mapInArrow(lean(learn), "index binary, weight binary, bias double").collect()
     return (np.frombuffer(rows[0]["index"], np.uint32), np.frombuffer(rows[0]["weight"], np.float32), rows[0]["bias"]) if rows else fit([])
 
 
-def score(docs: DataFrame, model: tuple, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: tuple, id_col: str = "doc_id", text_col: str = "text", remembered: int = REMEMBERED) -> DataFrame:
     """id and score, one row per document."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, (hashes, stems) = Model(*shared.value), hashing()
+        m, (hashes, stems) = Model(*shared.value), hashing(remembered)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m.score(features(t or "", hashes, stems)) for t in b.column(1).to_pylist()], pa.float64())], ["id", "score"])
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(lean(run), f"id {kind}, score double")
 
 
-def clean(docs: DataFrame, model: tuple, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def clean(docs: DataFrame, model: tuple, text_col: str = "text", threshold: float = THRESHOLD, remembered: int = REMEMBERED) -> DataFrame:
     """The rows of ``docs``, all columns, whose score is below the threshold; without a join."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, (hashes, stems) = Model(*shared.value), hashing()
+        m, (hashes, stems) = Model(*shared.value), hashing(remembered)
         for b in batches:
             yield b.filter(pa.array([m.score(features(t or "", hashes, stems)) < threshold for t in b.column(place).to_pylist()], pa.bool_()))
 
