@@ -167,6 +167,12 @@ def test_mixing_edges(edges, edge_rows, clashing):
     assert mixing.mixed(clashing).columns == clashing.columns
 
 
+def test_null_ids_have_keys_of_their_own(spark):
+    docs = spark.createDataFrame([(None, f"text {k}") for k in range(300)] + [(None, None)] * 2, "doc_id long, text string")
+    keys = [r[0] for r in docs.select(mixing.key_of(F.col("doc_id"), F.col("text"), F.lit(1.0), "mix")).collect()]
+    assert len(set(keys)) == 301 and all(k > 0 for k in keys)
+
+
 def test_weights_favour_heavy_documents(spark):
     docs = spark.range(3000).selectExpr("id AS doc_id", "'w' AS text", "'s' AS source", "IF(id < 1500, 1.0, 0.1) AS weight")
     extra = docs.unionByName(spark.range(1500).selectExpr("id + 10000 AS doc_id", "'w w w' AS text", "'t' AS source", "1.0D AS weight"))

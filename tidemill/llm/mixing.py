@@ -11,7 +11,7 @@ are sorted together.  A source with a third of all rows is spread over all its b
 
 Defined results: a null text has size 0; a null source is a source, after all others; a document is taken
 whole, by its midpoint (so a source misses its target by at most half of one document); documents of size 0
-take 0 words; equal keys go by id; an empty table gives an empty result; other columns are left alone.
+take 0 words; rows with null ids draw by their texts; equal keys go by id; an empty table gives an empty result; other columns are left alone.
 """
 
 from __future__ import annotations
@@ -35,9 +35,10 @@ def quality_weight(text: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.lit(50.0) * F.regexp_count(text, F.lit(SYMBOLS)) / F.greatest(F.length(text), F.lit(1)))
 
 
-def key_of(doc_id: Column, weight: Column, seed: str) -> Column:
-    """-ln(u)/w with u in (0, 1) from 52 bits of a digest of seed and id."""
-    bits = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 13), 16, 10).cast("double")
+def key_of(doc_id: Column, text: Column, weight: Column, seed: str) -> Column:
+    """-ln(u)/w with u in (0, 1) from 52 bits of a digest of seed and id; a null id gives way to a digest of the text, so that many of them don't share a key."""
+    name = F.coalesce(doc_id.cast("string"), F.concat(F.lit("null:"), F.md5(text)), F.lit(""))
+    bits = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), name)), 1, 13), 16, 10).cast("double")
     return -F.log((bits + 0.5) / F.lit(2.0**52)) / weight
 
 
@@ -65,7 +66,7 @@ def drawn(docs: DataFrame, id_col: str, text_col: str, source_col: str, weight:
     weight = quality_weight(F.col(text_col)) if weight is None else weight
     return [
         F.col(id_col).alias("id"), F.col(source_col).isNull().alias("no_source"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"),
-        n_words(F.col(text_col)).alias("size"), key_of(F.col(id_col), weight, seed).alias("key"),
+        n_words(F.col(text_col)).alias("size"), key_of(F.col(id_col), F.col(text_col), weight, seed).alias("key"),
     ]
 
 
