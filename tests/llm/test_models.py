@@ -188,6 +188,9 @@ def test_normaliser(spark):
             assert text in f.read()
     idx = [f for f in os.listdir(folder) if f.endswith(".idx")]
     assert sum(len(open(os.path.join(folder, f)).readlines()) for f in idx) == 50
+    found = warc.index_of(spark, members)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, index.collect()))
+    assert sorted(r["id"] for r in warc.read(found, members).collect()) == list(range(50))
 
 
 def test_inflating_streams_and_broken_archives():

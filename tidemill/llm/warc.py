@@ -29,7 +29,7 @@ from collections.abc import Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import addressed, filesystem, lean, located, new_path, stored
@@ -160,7 +160,7 @@ def spread(df: DataFrame) -> DataFrame:
 
 def normalise(manifest: DataFrame, source: str, target: str) -> DataFrame:
     """Rewrites each archive of the manifest, from one folder to another; the stored index of all records.  Next to each archive
-    lies its own index, ``.idx``, for readers that have nothing but the folder."""
+    lies its own index, ``.idx``, for readers that have nothing but the folder (``index_of``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (files, root), (there, to) = filesystem(source), filesystem(target)
@@ -194,6 +194,12 @@ def normalise(manifest: DataFrame, source: str, target: str) -> DataFrame:
 FIELDS = [x.split()[0] for x in INDEX.split(", ")]
 
 
+def index_of(spark: SparkSession, folder: str) -> DataFrame:
+    """The index of a folder of normalised archives, from the ``.idx`` files in it; one row per record, as ``normalise`` returned them."""
+    lines = spark.read.schema(INDEX).json(f"{folder}/*.idx")
+    return lines.select(F.regexp_replace("_metadata.file_name", r"\.idx$", "").alias("archive"), *FIELDS[1:])
+
+
 def batch(rows: list[tuple]) -> pa.RecordBatch:
     types = [pa.string(), pa.int64(), pa.int64(), *[pa.string()] * 4]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], FIELDS)
