@@ -54,6 +54,32 @@ def test_classifier_edges(labelled, edges, edge_rows, clashing, none, which):
     assert which.score(none, which.train(none, empty)).count() == 0
 
 
+def test_quality_learns_from_every_labelled_row_and_pair(spark):
+    texts = [f"word{i} and more of w{i % 7}" + " $$" * (i % 9 == 0) + " ." * (i % 5) for i in range(16_000)]
+    labels = [int(i % 9 > 0 or i % 4 == 0) for i in range(16_000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    mean, spread, w, cut, scale = quality_rank.train(docs, spark.createDataFrame(list(enumerate(labels)), "doc_id long, quality int"))
+    learnt = [i for i in range(16_000) if zlib.crc32(str(i).encode()) % 5]
+    x, y = np.stack([quality_rank.features(texts[i]) for i in learnt]).astype(np.float64), np.array([labels[i] for i in learnt])
+    assert len(y) > 12_500 and np.allclose(mean, x.mean(0), atol=1e-9) and np.allclose(spread, x.std(0) + 1e-4, atol=1e-7)
+    z = np.clip((x - mean) / spread, -8, 8)
+    s = z @ w
+    assert np.isclose(cut, np.quantile(s, (y == 0).mean()), atol=1e-6) and np.isclose(scale, s.std() / 2)
+    wrong = 1 / (1 + np.exp(s[y == 1][:, None] - s[y == 0]))  # of all pairs; the likelihood's slope is nought at its top
+    slope = (wrong.sum(0) @ z[y == 0] - wrong.sum(1) @ z[y == 1]) / wrong.size + quality_rank.DECAY * w
+    assert np.abs(w).max() > 0.01 and np.sqrt(slope @ slope) < 1e-3
+
+
+def test_pairs_are_summed_as_if_one_by_one():
+    r = np.random.default_rng(3)
+    y, s = r.integers(0, 2, 500), r.normal(0, 5, 500)
+    loss, t, up, down = quality_rank.pairs(*quality_rank.bins([quality_rank.counted([(y[:200], s[:200])]), quality_rank.counted([(y[200:], s[200:])])]))
+    d = s[y == 1][:, None] - s[y == 0]
+    assert np.isclose(loss, np.logaddexp(0, -d).mean(), atol=1e-4)
+    assert np.allclose(np.interp(s[y == 1], t, up), (1 / (1 + np.exp(d))).sum(1) / d.size, atol=1e-6)
+    assert np.allclose(np.interp(s[y == 0], t, down), (1 / (1 + np.exp(d))).sum(0) / d.size, atol=1e-6)
+
+
 def test_clean_keeps_columns(labelled, clashing, edge_rows):
     got = toxicity.clean(clashing, toxicity.train(*labelled))
     assert got.schema == clashing.schema and got.count() == len(edge_rows)
