@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemill.llm import exact_dedup, mixing, near_dedup
+from tidemill.llm.common import n_words
 from tidemill.llm.queries import QUERIES
 
 SPACE = re.compile(r"[\x20\x09-\x0D]")
@@ -167,6 +168,20 @@ def test_mixing_edges(edges, edge_rows, clashing):
     assert mixing.mixed(clashing).columns == clashing.columns
 
 
+def test_mix_writes_rows_as_they_lie(spark, edges, edge_rows):
+    got = mixing.mix(edges)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan and "Window" not in plan
+    assert sorted(x["size"] for x in got.collect()) == sorted(len(WORD.findall(r[1] or "")) for r in edge_rows)
+
+
+def test_words_are_counted_without_a_list_of_them(spark):
+    texts = [None, "", " ", "\n\t ", "a", " a", "a ", " a b\x0bc\x0c ", "é 中文  \U0001f600\U0001f600 x", "\xa0a\x85b", "$1 \\ $", "w w w", "\x00 \x1c \x00", "x " * 30_000, " " * 30_000]
+    words = n_words(F.col("text"))
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1).select(words).collect()]
+    assert got == [len(WORD.findall(t or "")) for t in texts] and "regexp_extract_all" not in str(words) and "regexp_count" not in str(words)
+
+
 def test_null_ids_have_keys_of_their_own(spark):
     docs = spark.createDataFrame([(None, f"text {k}") for k in range(300)] + [(None, None)] * 2, "doc_id long, text string")
     keys = [r[0] for r in docs.select(mixing.key_of(F.col("doc_id"), F.col("text"), F.lit(1.0), "mix")).collect()]

@@ -107,8 +107,10 @@ def text_of(column: str | Column) -> Column:
 
 
 def n_words(text: Column) -> Column:
-    """Number of words; null counts as none."""
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    """Number of words; null counts as none.  Each word with the space around it becomes one letter, of a text that ends with a word more: unlike
+    ``regexp_count``, which makes an array of all matches of a text, this leaves little for the JVM to clear away."""
+    letters = F.regexp_replace(F.concat(text_of(text), F.lit(" w")), F.lit(rf"[{SPACE}]*+[^{SPACE}]++[{SPACE}]*+"), F.lit("w"))
+    return (F.length(letters) - 1).cast("long")
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -71,14 +71,35 @@ def drawn(docs: DataFrame, id_col: str, text_col: str, source_col: str, weight:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight: Column | None = None, seed: str = "mix", weights: tuple = (1, 2, 3), epochs: float = 3) -> DataFrame:
-    """One row per document: id, row, size, source_size, target, times (copies the mix takes), taken (words)."""
-    sized = docs.select(*drawn(docs, id_col, text_col, source_col, weight, seed), F.monotonically_increasing_id().alias("row"))
-    out = allotted(stored(sized, "sizes"), ["row"], weights, epochs)  # the texts are read once
-    return out.select("id", "row", "size", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken"))
+    """One row per document: id, row, size, source_size, target, times (copies the mix takes), taken (words).  A source's limit comes to the rows,
+    which are written as they lie, not as their keys were dealt out."""
+    sized = stored(docs.select(*drawn(docs, id_col, text_col, source_col, weight, seed), F.monotonically_increasing_id().alias("row")), "sizes")  # the texts are read once
+    order = ["key", "id", "size", "row"]
+    upto = limits(sized, order, weights, epochs, "source_size", "target")
+    out = sized.join(few(upto), ["no_source", "source"])
+    return out.withColumn("times", times(F.col("size"), F.struct(*order), F.col("full"), F.col("upto"))).select("id", "row", "size", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken"))
+
+
+def limits(sized: DataFrame, order: list[str], weights: tuple, epochs: float, *also: str) -> DataFrame:
+    """One row per source, stored: no_source, source, full (epochs), upto (the last row, by ``order``, that the mix takes once more; null: none) and
+    the columns ``also``.  ``order`` is key, id, size and what tells apart rows that agree in these."""
+    each = allotted(sized, order[3:], weights, epochs)
+    upto = F.max(F.when(F.col("more") & (F.col("size") > 0), F.struct(*order))).alias("upto")
+    return stored(each.groupBy("no_source", "source").agg(F.max("full").alias("full"), upto, *[F.max(c).alias(c) for c in also]), "limits")
+
+
+def few(upto: DataFrame) -> DataFrame:
+    return F.broadcast(upto) if upto.count() <= BROADCAST_SOURCES else upto
+
+
+def times(size: Column, place: Column, full: Column, upto: Column) -> Column:
+    """How often the mix takes a row that has this place in its source's order."""
+    more = upto.isNotNull() & (place <= upto)
+    return F.when(size > 0, full + F.coalesce(more, F.lit(False)).cast("int")).otherwise(0).cast("long")
 
 
 def allotted(sized: DataFrame, last: list[str], weights: tuple, epochs: float) -> DataFrame:
-    """The stored rows with source_size, target, full (epochs) and times.  Rows of one key go by id, size and the columns ``last``.
+    """The stored rows with source_size, target, full (epochs) and more (whether the mix takes them once more).  Rows of one key go by id, size and the columns ``last``.
 
     What a source takes beyond full epochs is the beginning of its order: a row whose midpoint lies beyond the budget
     ends at or beyond it, and so does whatever comes later."""
@@ -94,8 +115,7 @@ def allotted(sized: DataFrame, last: list[str], weights: tuple, epochs: float) -
     )
     inside = Window.partitionBy("no_source", "source", "bucket").orderBy("key", "id", "size", *last).rowsBetween(Window.unboundedPreceding, -1)
     out = place.join(budget, ["no_source", "source", "bucket"])
-    out = out.withColumn("more", F.coalesce(F.sum("size").over(inside), F.lit(0)) + F.col("size") / 2 <= F.col("left"))
-    return out.withColumn("times", F.when(F.col("size") > 0, F.col("full") + F.when(F.col("more"), 1).otherwise(0)).otherwise(0).cast("long"))
+    return out.withColumn("more", F.coalesce(F.sum("size").over(inside), F.lit(0)) + F.col("size") / 2 <= F.col("left"))
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight: Column | None = None, seed: str = "mix", weights: tuple = (1, 2, 3), epochs: float = 3) -> DataFrame:
@@ -103,15 +123,12 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     texts stay where they are; rows that agree in key, id and size go by their address."""
     docs, slim = addressed(docs, *drawn(docs, id_col, text_col, source_col, weight, seed))
     order = ["key", "id", "size", "file", "at"]
-    each = allotted(stored(slim, "sizes"), order[-2:], weights, epochs).filter("size > 0")
-    upto = each.groupBy("no_source", "source").agg(F.max("full").alias("full"), F.max(F.when(F.col("more"), F.struct(*order))).alias("upto")).filter("full > 0 OR upto IS NOT NULL")
+    upto = limits(stored(slim, "sizes"), order, weights, epochs).filter("full > 0 OR upto IS NOT NULL")
     own, copy, of, full, to = (fresh(docs, f"mixed_{x}") for x in ("own", "copy", "of", "full", "upto"))
-    upto = stored(upto.select(F.struct("no_source", "source").alias(of), F.col("full").alias(full), F.col("upto").alias(to)), "limits")
+    upto = upto.select(F.struct("no_source", "source").alias(of), F.col("full").alias(full), F.col("upto").alias(to))
     place = docs.metadataColumn("_metadata")
     row = F.struct(*drawn(docs, id_col, text_col, source_col, weight, seed), F.xxhash64(place["file_path"]).alias("file"), place["row_index"].alias("at"))
     rows = docs.select("*", row.alias(own))
-    few = F.broadcast(upto) if upto.count() <= BROADCAST_SOURCES else upto
-    rows = rows.join(few, F.struct(F.col(own)["no_source"], F.col(own)["source"]) == F.col(of))
-    more = F.col(to).isNotNull() & (F.struct(*[F.col(own)[c].alias(c) for c in order]) <= F.col(to))
-    times = F.when(F.col(own)["size"] > 0, F.col(full) + F.coalesce(more, F.lit(False)).cast("int")).otherwise(0).cast("int")
-    return rows.filter(times > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), times))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = rows.join(few(upto), F.struct(F.col(own)["no_source"], F.col(own)["source"]) == F.col(of))
+    n = times(F.col(own)["size"], F.struct(*[F.col(own)[c].alias(c) for c in order]), F.col(full), F.col(to)).cast("int")
+    return rows.filter(n > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), n))).select(*[F.col(f"`{c}`") for c in docs.columns])
